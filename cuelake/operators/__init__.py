@@ -1,0 +1 @@
+"""operators of the caption and usage engine."""

@@ -1,0 +1 @@
+"""plans of the caption and usage engine."""

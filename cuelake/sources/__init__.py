@@ -1,0 +1 @@
+"""sources of the caption and usage engine."""

@@ -1,0 +1 @@
+"""streaming of the caption and usage engine."""
