@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.op8_mixing}
+    return {"op4_packing": packing.op4_packing, "op8_mixing": mixing.op8_mixing}
 
 
 def oracle_sql() -> dict:
