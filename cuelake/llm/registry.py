@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, simhash
 
 
 def queries() -> dict:
-    return {"op4_packing": packing.op4_packing, "op8_mixing": mixing.op8_mixing}
+    return {"op4_packing": packing.op4_packing, "op6_simhash": simhash.op6_simhash, "op8_mixing": mixing.op8_mixing}
 
 
 def oracle_sql() -> dict:
