@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import mixing, packing, simhash, substrings
 
 
 def queries() -> dict:
-    return {"op4_packing": packing.op4_packing, "op6_simhash": simhash.op6_simhash, "op8_mixing": mixing.op8_mixing}
+    return {"op4_packing": packing.op4_packing, "op6_simhash": simhash.op6_simhash, "op8_mixing": mixing.op8_mixing,
+        "op10_substrings": substrings.op10_substrings}
 
 
 def oracle_sql() -> dict:
