@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash, substrings, toxicity
+from . import mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity
 
 
 def queries() -> dict:
-    return {"op4_packing": packing.op4_packing, "op6_simhash": simhash.op6_simhash, "op7_toxicity": toxicity.op7_toxicity,
+    return {
+        "op4_packing": packing.op4_packing,
+        "op5_quality": quality_model.op5_quality,
+        "op6_simhash": simhash.op6_simhash,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
-        "op10_substrings": substrings.op10_substrings}
+        "op10_substrings": substrings.op10_substrings,
+    }
 
 
 def oracle_sql() -> dict:
