@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity
+from . import lines, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_lines": lines.op2_lines,
         "op4_packing": packing.op4_packing,
         "op5_quality": quality_model.op5_quality,
         "op6_simhash": simhash.op6_simhash,
