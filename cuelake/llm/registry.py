@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity
+from . import licenses, lines, mixing, neighbours, packing, quality_model, quality_rules, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_neighbours": neighbours.op1_neighbours,
         "op2_lines": lines.op2_lines,
+        "op3_licenses": licenses.op3_licenses,
         "op4_packing": packing.op4_packing,
         "op5_quality": quality_model.op5_quality,
         "op6_simhash": simhash.op6_simhash,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op1_neighbours": neighbours.OP1_SQL, "op3_licenses": licenses.OP3_SQL, "op8_mixing": mixing.OP8_SQL}
