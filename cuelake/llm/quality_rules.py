@@ -14,6 +14,7 @@ judged each for itself; an empty table gives no rows. Only doc_id and text are r
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -92,7 +93,7 @@ def _lines(f: Features) -> float:
 
 
 def _top_word(f: Features) -> float:
-    return np.unique(np.array([hash(w) for w in f.words]), return_counts=True)[1].max() / f.n_words if f.words else 0.0
+    return Counter(f.words).most_common(1)[0][1] / f.n_words if f.words else 0.0
 
 
 @dataclass(frozen=True)

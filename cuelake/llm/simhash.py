@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, table
 from .graph import components
@@ -58,14 +59,18 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """docs with fp (the fingerprint as a signed long) in place of text."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(at)], dtype=np.uint64)
+            cols, names = list(batch.columns), list(batch.schema.names)
+            cols[at], names[at] = pa.array(found.view(np.int64)), "fp"
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    fields = [T.StructField("fp", T.LongType()) if f.name == "text" else f for f in docs.schema.fields]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[int]:
@@ -166,12 +171,18 @@ def links(fps: DataFrame, max_bits: int = 3, sample_rows: int = SAMPLE) -> DataF
     return found.select("a", "b")
 
 
+def classes(rows: DataFrame, max_bits: int = 3) -> DataFrame:
+    """rows with fp -> (fp, label): distinct fingerprints and the least one that links reach from each."""
+    distinct = cut(rows.select("fp").distinct())
+    found = components(links(distinct, max_bits))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
-    rows = cut(fingerprints(docs, width, seed))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(classes.select("fp"), max_bits))
-    joined = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = cut(fingerprints(docs.select("doc_id", "text"), width, seed))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    joined = cut(classes(rows, max_bits).join(first, "fp"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(named, F.col("fp") == F.col("_fp")).select(
@@ -179,5 +190,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: i
     )
 
 
+def keep_first(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: int = 3) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's, and of rows that share it one by a hash of the text.
+
+    The ids that stay join the texts by id, so no component is gathered anywhere.
+    """
+    key = {"_d": F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))}
+    rows = cut(fingerprints(docs.withColumns(key).select("_d", "_t", "text"), width, seed))
+    first = rows.groupBy("fp").agg(F.min(F.struct("_d", "_t")).alias("first"))
+    stay = classes(rows, max_bits).join(first, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first._d").alias("_kd"), F.col("first._t").alias("_kt"))
+    joined = docs.withColumns(key).join(stay, (F.col("_d") == F.col("_kd")) & (F.col("_t") == F.col("_kt")), "left_semi")
+    return joined.dropDuplicates(["_d", "_t"]).select(*[F.col(c) for c in docs.columns])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
