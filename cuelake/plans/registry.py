@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from cuelake.sources.model import Views, check_sql
+
+MODULES = ("ledger", "jobs", "timedtext", "signal", "script", "cutlaws", "speech", "streams")
+
+_PLANS: dict[str, Callable[[Views], DataFrame]] = {}
+_CHECKS: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a plan over the model's views, with the SQL that checks it where SQL can."""
+
+    def keep(plan: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        assert name not in _PLANS, name
+        _PLANS[name] = plan
+        if sql:
+            _CHECKS[name] = check_sql(sql)
+        return plan
 
-def _ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sign = F.when(F.col("event_type").isin("signup", "purchase"), 1).otherwise(-1)
-    delta = (F.col("value") * sign).cast("decimal(18,4)")
-    return ev.groupBy("user_id").agg(F.sum(delta).cast("double").alias("balance"), F.count("*").alias("n_rows"))
+    return keep
 
 
-QUERIES = {"ledger_balance": _ledger_balances}
-ORACLES = {
-    "ledger_balance": """
-SELECT user_id, CAST(sum(CAST(value * CASE WHEN event_type IN ('signup','purchase') THEN 1 ELSE -1 END AS DECIMAL(18,4))) AS DOUBLE) AS balance,
-       count(*) AS n_rows
-FROM events GROUP BY user_id""",
-}
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"cuelake.plans.{m}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger_balances(spark, sf_dir)
+    _load()
+    return _PLANS["usage_summary"](Views(spark, sf_dir))
 
 
-def queries() -> dict:
-    return QUERIES
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return {name: lambda spark, sf_dir, plan=plan: plan(Views(spark, sf_dir)) for name, plan in _PLANS.items()}
 
 
-def oracle_sql() -> dict:
-    return ORACLES
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_CHECKS)
