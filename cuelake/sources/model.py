@@ -104,6 +104,8 @@ def check_sql(query: str) -> str:
     texts = {v: t if isinstance(t := VIEWS[v], str) else t[1] for v in used}
     ctes = ", ".join(f"{v} AS ({_NAME.sub(r'\1', texts[v]).replace('{{', '{').replace('}}', '}')})" for v in used)
     body = query.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[4:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
 
 
