@@ -1 +1,98 @@
-"""Queries."""
+"""Script, word-count and glossary queries over whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuelake.functions import glossary as G
+from cuelake.functions import script as S
+from cuelake.plans.registry import query
+
+_C, _L = "len(regexp_extract_all(text, '[Ѐ-ӿ]'))", "len(regexp_extract_all(text, '[a-zA-ZöğşçÖĞŞÇ]'))"
+
+
+@query(
+    "script_detected",
+    f"""
+WITH n AS (SELECT doc_id, CAST({_C} AS BIGINT) AS cyrillic, CAST({_L} AS BIGINT) AS latin FROM documents)
+SELECT doc_id, cyrillic, latin, CASE WHEN cyrillic + latin = 0 THEN 0 ELSE round(greatest(cyrillic, latin) / (cyrillic + latin), 3) END AS confidence,
+  CASE WHEN cyrillic + latin = 0 THEN 'other' WHEN greatest(cyrillic, latin) / (cyrillic + latin) < 0.8 AND least(cyrillic, latin) / (cyrillic + latin) >= 0.2 THEN 'mixed' WHEN cyrillic > latin THEN 'cyrillic' ELSE 'latin' END AS script
+FROM n""",
+)
+def _(v):
+    return v.documents.select("doc_id", S.detected(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+@query("letter_words", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '\\p{L}'))) AS INTEGER) AS words FROM documents")
+def _(v):
+    return v.documents.select("doc_id", S.word_count(F.col("text")).alias("words"))
+
+
+@query(
+    "latin_normalized",
+    "SELECT doc_id, nfc_normalize(translate(text, 'ʻ’`´ʼ', '''''''''''')) AS text FROM documents",
+)
+def _(v):
+    return v.documents.select("doc_id", S.normalized(F.col("text")).alias("text"))
+
+
+@query("official_apostrophes", "SELECT doc_id, replace(replace(replace(replace(text, 'o''', 'oʻ'), 'O''', 'Oʻ'), 'g''', 'gʻ'), 'G''', 'Gʻ') AS text FROM documents")
+def _(v):
+    return v.documents.select("doc_id", S.official(F.col("text")).alias("text"))
+
+
+@query("texts_to_cyrillic")
+def _(v):
+    return v.documents.select("doc_id", S.transliterated(F.col("text"), "cyrillic").alias("text"))
+
+
+@query("texts_round_trip")
+def _(v):
+    there = v.documents.select("doc_id", S.transliterated(F.col("text"), "cyrillic").alias("c"))
+    return there.select("doc_id", S.transliterated(F.col("c"), "latin").alias("text"))
+
+
+@query("texts_to_new_latin")
+def _(v):
+    return v.documents.select("doc_id", S.transliterated(F.col("text"), "new_latin").alias("text"))
+
+
+@query("html_escaped", "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS text FROM documents")
+def _(v):
+    return v.documents.select("doc_id", S.html_escaped(F.col("text")).alias("text"))
+
+
+#: Terms of the check; a job's own glossary takes their place.
+TERMS = {"the": "der", "with": "mit", "All rights reserved": "Alle Rechte", "license": "Lizenz", "and": "und"}
+
+
+@query(
+    "glossary_hits",
+    "SELECT doc_id, array_to_string(list_filter(['the', 'with', 'All rights reserved', 'license', 'and'], lambda t: contains(lower(text), lower(t))), ',') AS hits FROM documents",
+)
+def _(v):
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    return v.documents.select("doc_id", F.array_join(G.hits(F.col("text"), terms), ",").alias("hits"))
+
+
+@query("glossary_applied")
+def _(v):
+    return v.documents.select("doc_id", G.applied(F.col("text"), TERMS).alias("text"))
+
+
+@query("glossary_masked", "SELECT doc_id, true AS same FROM documents")
+def _(v):
+    m = v.documents.select("doc_id", "text", G.masked(F.col("text"), {k: k for k in TERMS}).alias("m"))
+    restored = G.unmasked(F.col("m.text"), F.col("m.marks"))
+    return m.select("doc_id", (F.lower(restored) == F.lower("text")).alias("same"))
+
+
+@query("contacts_normalized", "SELECT id, CASE WHEN contact LIKE '%@%' THEN replace(lower(contact), ' ', '') WHEN regexp_matches(contact, '[0-9]') THEN '+' || regexp_replace(contact, '[^0-9]', '', 'g') ELSE lower(contact) END AS contact FROM users")
+def _(v):
+    c = F.col("contact")
+    out = (
+        F.when(F.contains(c, F.lit("@")), F.replace(F.lower(c), F.lit(" "), F.lit("")))
+        .when(c.rlike("[0-9]"), F.concat(F.lit("+"), F.regexp_replace(c, "[^0-9]", "")))
+        .otherwise(F.lower(c))
+    )
+    return v.users.select("id", out.alias("contact"))
