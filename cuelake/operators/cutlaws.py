@@ -36,9 +36,13 @@ def folded(word: Column) -> Column:
     return F.regexp_replace(low, r"(?U)^[^\w']+|[^\w']+$", "")
 
 
-def faults(left: Column, right: Column) -> Column:
-    """Codes of the laws that a cut between two words breaks."""
-    a, b = folded(left), folded(right)
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _codes(left: Column, a: Column, b: Column) -> Column:
+    """Codes of the laws that a cut breaks: the word before it, and both words folded."""
     law = lambda code, when: F.when(when, F.lit(code))
     starts = lambda stems: "^(" + "|".join(stems) + ")"
     clause_end = F.rtrim(left).rlike(f"[{CLAUSE_END}]$")
@@ -55,12 +59,19 @@ def faults(left: Column, right: Column) -> Column:
     return F.filter(F.array(*found), lambda c: c.isNotNull())
 
 
-def junctions(words: Column) -> Column:
-    """array<struct<k, left, right>> of a text's words; none for fewer than two."""
-    at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda k: F.struct(k.alias("k"), F.get(words, k - 1).alias("left"), F.get(words, k).alias("right")))
+def faults(left: Column, right: Column) -> Column:
+    """Codes of the laws that a cut between two words breaks."""
+    words = F.struct(left.alias("l"), folded(left).alias("a"), folded(right).alias("b"))
+    return bound(words, lambda w: _codes(w.l, w.a, w.b))
 
 
 def judged(words: Column) -> Column:
-    """array<struct<k, left, right, codes>>."""
-    return F.transform(junctions(words), lambda j: F.struct(j.k.alias("k"), j.left.alias("left"), j.right.alias("right"), faults(j.left, j.right).alias("codes")))
+    """array<struct<k, left, right, codes>> of a text's junctions; none for fewer than two words. Each word is folded once."""
+    n = lambda t: F.when(F.size(t.w) > 1, F.sequence(F.lit(1), F.size(t.w) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def one(t: Column, k: Column) -> Column:
+        left = F.get(t.w, k - 1)
+        return F.struct(k.alias("k"), left.alias("left"), F.get(t.w, k).alias("right"), _codes(left, F.get(t.f, k - 1), F.get(t.f, k)).alias("codes"))
+
+    with_folds = bound(words, lambda w: F.struct(w.alias("w"), F.transform(w, folded).alias("f")))
+    return bound(with_folds, lambda t: F.transform(n(t), lambda k: one(t, k)))

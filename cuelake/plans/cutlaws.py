@@ -33,11 +33,14 @@ _HITS = " + ".join(f"CAST({c} AS INTEGER)" for c in ("postposition", "compound_v
 
 @query("cut_ruler", _DOCS + f"SELECT id AS doc_id, count(*) AS positions, count(*) FILTER (WHERE {_HITS} = 0) AS legal, CAST(sum({_HITS}) AS BIGINT) AS fault_count FROM f GROUP BY id")
 def _(v):
-    j = C.judged(C.words_of(F.col("text")))
-    rows = v.documents.select("doc_id", j.alias("j")).filter(F.size("j") > 0)
-    total = F.aggregate("j", F.lit(0), lambda n, x: n + F.size(x.codes))
-    legal = F.size(F.filter("j", lambda x: F.size(x.codes) == 0))
-    return rows.select("doc_id", F.size("j").cast("long").alias("positions"), legal.cast("long").alias("legal"), total.cast("long").alias("fault_count"))
+    def counts(j):
+        total = F.aggregate(j, F.lit(0), lambda n, x: n + F.size(x.codes))
+        legal = F.size(F.filter(j, lambda x: F.size(x.codes) == 0))
+        n = [F.size(j).alias("positions"), legal.alias("legal"), total.alias("fault_count")]
+        return F.struct(*[c.cast("long").alias(name) for c, name in zip(n, ("positions", "legal", "fault_count"), strict=True)])
+
+    rows = v.documents.select("doc_id", F.explode(F.array(C.bound(C.judged(C.words_of(F.col("text"))), counts))).alias("n"))
+    return rows.select("doc_id", "n.*").filter("positions > 0")
 
 
 @query(

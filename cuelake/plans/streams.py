@@ -1 +1,47 @@
-"""Queries."""
+"""Sequential folds over events, in batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuelake.plans.registry import query
+from cuelake.streaming import stateful as S
+
+
+def _hits(v):
+    return v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("failed"))
+
+
+@query("hits_admitted")
+def _(v):
+    return S.admitted(_hits(v), 86400.0, 2)
+
+
+@query("breaker_states")
+def _(v):
+    return S.breaker(_hits(v))
+
+
+@query(
+    "debits_admitted",
+    """
+WITH RECURSIVE n AS (SELECT id, user_id, CAST(delta * 10000 AS BIGINT) AS d, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM ledger),
+s AS (SELECT id, user_id, k, d >= 0 AS counted, greatest(d, 0) AS balance FROM n WHERE k = 1
+  UNION ALL SELECT n.id, n.user_id, n.k, n.d >= 0 OR s.balance + n.d >= 0, CASE WHEN n.d >= 0 OR s.balance + n.d >= 0 THEN s.balance + n.d ELSE s.balance END FROM n JOIN s ON n.user_id = s.user_id AND n.k = s.k + 1)
+SELECT id, user_id, counted, balance / 10000 AS balance FROM s""",
+)
+def _(v):
+    return S.spends(v.ledger)
+
+
+@query("events_per_day", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
+def _(v):
+    at = v.events.withColumn("at", F.col("ts").cast("timestamp"))
+    rows = S.counted_per_window(at, "at", "1 day", "1 day", "event_type")
+    return rows.select("event_type", F.to_date("window.start").alias("day"), "n")
+
+
+@query("steps_progress", "SELECT event_id AS id, CASE event_type WHEN 'signup' THEN 5 WHEN 'view' THEN 40 WHEN 'purchase' THEN 100 ELSE 30 END AS pct FROM events")
+def _(v):
+    pct = F.create_map(F.lit("signup"), F.lit(5), F.lit("view"), F.lit(40), F.lit("purchase"), F.lit(100))
+    return v.events.select(F.col("event_id").alias("id"), F.coalesce(pct[F.col("event_type")], F.lit(30)).alias("pct"))
