@@ -1 +1,47 @@
-"""Queries."""
+"""Speaker attribution and word timing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuelake.operators import signal as S
+from cuelake.operators import speech
+from cuelake.plans.registry import query
+from cuelake.sources import sinks
+
+#: The tapes of the check have 64 levels; at this frame they last as long as a conversation's cues.
+FRAME_S = 0.5
+
+
+def _timed(v):
+    gate = S.gates(v.levels)
+    cues = v.cues.select(F.col("doc").alias("tape"), "idx", F.col("start_s").alias("s"), F.col("end_s").alias("e"), "text")
+    return speech.words_timed(cues, v.levels, S.speech_runs(v.levels, gate), gate, FRAME_S)
+
+
+@query("cue_speakers")
+def _(v):
+    return speech.speakers(v.cues)
+
+
+@query("speaker_totals")
+def _(v):
+    who = speech.speakers(v.cues).select("doc", "idx", "speaker")
+    rows = who.join(v.cues, ["doc", "idx"])
+    return rows.groupBy("doc", "speaker").agg(F.count("*").alias("turns"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+
+
+@query("words_timed")
+def _(v):
+    return _timed(v)
+
+
+@query("words_vtt")
+def _(v):
+    cues = v.cues.select(F.col("doc").alias("tape"), "idx", "start_s", "end_s")
+    return sinks.words_to_vtt(_timed(v).join(cues, ["tape", "idx"]), "tape", "idx", "start_s", "end_s", "words")
+
+
+@query("word_cut_methods")
+def _(v):
+    return _timed(v).select(F.explode("methods").alias("method")).groupBy("method").agg(F.count("*").alias("n"))

@@ -143,3 +143,39 @@ def test_admitted_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.id for r in spark.table("adm").filter("admitted").orderBy("id").collect()] == [0, 1, 6, 7]
+
+
+def test_syllables():
+    from cuelake.operators.speech import weight
+
+    words = {"bog'ladim": 3, "stol": 1, "o'qish": 2, "keladigan": 4, "OVOZ": 2, "бўғла": 1, "қиёма": 3, "100": 1}
+    assert {w: int(weight(w)) for w in words} == words
+
+
+@pytest.mark.parametrize(("text", "person"), [("Men tayyorman.", 1), ("Siz kelasizmi?", 2), ("Ishga tushirdik.", 1), ("U bog'ga bordi.", 0)])
+def test_person(text, person):
+    from cuelake.operators.speech import read
+
+    assert read(text).person == person
+
+
+def test_words_take_the_pauses():
+    from cuelake.operators.speech import time_words
+
+    # speech 0-.60, pause -.75, speech -1.25, pause -1.37, speech -2.07
+    level = np.array([0.3] * 30 + [0.001] * 8 + [0.3] * 25 + [0.001] * 6 + [0.3] * 35)
+    runs = [(0, 29), (38, 62), (69, 103)]
+    [(words, how, why)] = time_words([(0.0, 2.07, "salom dunyo yaxshi")], level, runs, 0.05, 0.02)
+    assert why is None and how == ["valley", "valley"]
+    assert 0.60 <= words[0][2] <= 0.76 and 1.25 <= words[1][2] <= 1.38 and words[-1][2] == 2.07
+    assert time_words([(0.0, 0.1, "a b c d e f"), (90.0, 95.0, "x"), (0.0, 1.0, "[S1] …")], level, runs, 0.05, 0.02) == [([], [], "too_fast"), ([], [], "outside_audio"), ([], [], "no_text")]
+
+
+def test_speakers_alternate():
+    from cuelake.operators.speech import attribute
+
+    text = ["Assalomu alaykum, siz tayyormisiz?", "Va alaykum assalom, men tayyorman.", "Siz qachon keldingiz?", "Kecha keldim."]
+    found = attribute([0.0, 3.0, 6.0, 9.0], [2.5, 5.5, 8.5, 11.0], text)
+    assert [f[0] for f in found] == [1, 2, 1, 2]
+    voices = [(0.1, 0.2, 0.3), (0.1, 0.2, 0.3), (0.5, 0.9, 0.9)]
+    assert [f[0] for f in attribute([0, 3, 6], [2, 5, 8], ["Bir.", "Ikki.", "Uch."], voices)] == [1, 1, 2]
