@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelake.operators import alignment
 from cuelake.operators import signal as S
 from cuelake.operators import speech
 from cuelake.plans.registry import query
@@ -45,3 +46,11 @@ def _(v):
 @query("word_cut_methods")
 def _(v):
     return _timed(v).select(F.explode("methods").alias("method")).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("cues_aligned")
+def _(v):
+    gate = S.gates(v.levels)
+    quiet = S.pauses(S.speech_runs(v.levels, gate), gate, FRAME_S)
+    cues = v.cues.select(F.col("doc").alias("tape"), "idx", F.col("start_s").alias("s"), F.col("end_s").alias("e"))
+    return alignment.aligned(cues, quiet, gate, FRAME_S)

@@ -179,3 +179,24 @@ def test_speakers_alternate():
     assert [f[0] for f in found] == [1, 2, 1, 2]
     voices = [(0.1, 0.2, 0.3), (0.1, 0.2, 0.3), (0.5, 0.9, 0.9)]
     assert [f[0] for f in attribute([0, 3, 6], [2, 5, 8], ["Bir.", "Ikki.", "Uch."], voices)] == [1, 1, 2]
+
+
+def test_align_moves_shared_cuts_as_one():
+    from cuelake.operators.alignment import align
+
+    found = align([(0.0, 0.6), (0.6, 2.8), (2.8, 5.0)], [(1.0, 2.0), (3.0, 3.5)], 5.0)
+    (a, b), (c, d), (e, f) = found.spans
+    assert b == c == pytest.approx(1.03, abs=0.01) and d == e == pytest.approx(3.03, abs=0.01) and len(found.moves) == 4
+    again = align(found.spans, [(1.0, 2.0), (3.0, 3.5)], 5.0)
+    assert again.spans == found.spans and not again.moves
+
+
+def test_align_long_tape():
+    from cuelake.operators.alignment import align
+
+    # every 6 s: voice 2.0, room 0.6, voice 2.0, room 1.4
+    gaps = [g for k in range(150) for g in ((6 * k + 2.0, 6 * k + 2.6), (6 * k + 4.6, 6 * k + 6.0))]
+    found = align([(6 * k + 1.85, 6 * k + 4.45) for k in range(150)], gaps, 900.0)
+    assert len(found.moves) == 300 and max(abs(b - a) for *_, a, b in found.moves) == pytest.approx(0.18)
+    assert found.spans[-1][0] == 896.03
+    assert align([(0.0, 1.0)], [], 2.0).spans == [(0.0, 1.0)]
