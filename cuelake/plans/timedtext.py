@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.functions.timecode import srt_time, vtt_time
 from cuelake.operators import intervals as I
 from cuelake.operators import layout as L
+from cuelake.operators import repair
 from cuelake.plans.registry import query
 from cuelake.sources import sinks, timedtext
 
@@ -227,3 +228,14 @@ def _(v):
 def _(v):
     n = F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0b]+"))
     return v.documents.select("doc_id", F.greatest(F.lit(0.1), n / F.lit(150.0)).alias("minutes"))
+
+
+@query("layout_polished")
+def _(v):
+    return repair.polished(v.cues)
+
+
+@query("words_kept", "SELECT doc, array_to_string(list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY idx), '\\s+'), lambda x: x <> ''), ' ') AS words FROM cues GROUP BY doc")
+def _(v):
+    rows = repair.polished(v.cues).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("card", "text"))).alias("cs"))
+    return rows.select("doc", F.trim(F.regexp_replace(F.array_join(F.transform("cs", lambda c: c.text), " "), r"\s+", " ")).alias("words"))

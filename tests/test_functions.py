@@ -200,3 +200,32 @@ def test_align_long_tape():
     assert len(found.moves) == 300 and max(abs(b - a) for *_, a, b in found.moves) == pytest.approx(0.18)
     assert found.spans[-1][0] == 896.03
     assert align([(0.0, 1.0)], [], 2.0).spans == [(0.0, 1.0)]
+
+
+def test_repair_keeps_words_and_clearance():
+    from cuelake.operators import repair
+
+    long = "Bu juda uzun gap bo'lib, uni bitta kartaga sig'dirib bo'lmaydi, chunki unda juda ko'p so'z bor va ular o'qilishi kerak, shuning uchun uni bo'lamiz."
+    cues = [(0.0, 4.0, long), (4.0, 4.3, "Qisqa."), (9.0, 9.0, "Oxiri")]
+    for sync in (False, True):
+        found, _ = repair.reflow(cues, sync)
+        assert " ".join(t for *_, t, _ in found).split() == " ".join(c[2] for c in cues).split()
+        assert all(a[1] + 0.08 <= b[0] + 1e-9 and a[1] - a[0] >= 0.05 for a, b in zip(found, found[1:]))
+        assert all(len(x) <= 42 for *_, t, _ in found for x in t.split("\n"))
+    assert repair.wrapped("rejani hozir uchun yozdik va keyin ularni hammaga ko'rsatdik").count("\n") == 1
+    assert repair.fault_count("hozir", "uchun") == 1 and repair.fault_count("tekshirib,", "keyin") == 0
+
+
+def test_wav(spark, tmp_path):
+    import wave
+
+    from cuelake.sources.wav import mixed, read_levels
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
+        w.writeframes(np.repeat(np.full(1600, 16384, dtype="<i2"), 2).tobytes())
+    (tmp_path / "b.wav").write_bytes(b"OggS" + bytes(40))
+    rows = {r.path[-5:]: r for r in read_levels(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert rows["a.wav"].levels == [0.5] * 10 and rows["a.wav"].rate == 8000 and rows["b.wav"].code == "not_wav"
+    tape, cut = mixed([(0, np.full(4, 30000)), (2, np.full(4, 30000))], 5)
+    assert tape.tolist() == [30000, 30000, 32767, 32767, 30000] and cut
