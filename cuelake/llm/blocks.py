@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 U64 = np.uint64
 #: Odd multiplier of the rolling hashes, and its inverse modulo 2**64.
@@ -130,3 +130,10 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(count)
     return np.arange(total, dtype=np.int64) + np.repeat(first - (ends - count), count)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for code that makes Python objects of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

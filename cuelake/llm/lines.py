@@ -40,6 +40,13 @@ _U64 = np.uint64
 _K = (_U64(0xC2B2AE3D27D4EB4F), _U64(0x165667B19E3779F9))
 
 
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and in all."""
+    out = np.zeros(len(flags) + 1, dtype=np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 class Lines:
     """The lines of a block: bytes, place, hash, characters."""
 
@@ -53,13 +60,13 @@ class Lines:
         self.per = np.diff(upto) + 1
         self.doc = np.repeat(np.arange(n_docs), self.per)
         self.line = blocks.ragged(np.zeros(n_docs, dtype=np.int64), self.per)
-        seen = np.concatenate([[0], np.cumsum(~blocks.IS_SPACE[data])])
+        seen = _before(~blocks.IS_SPACE[data])
         self.real = seen[self.end] > seen[self.start]
         self.prefix = blocks.prefixes(blocks.byte_codes()[data])
         self.hash = blocks.mix64(blocks.slide(self.prefix, self.start, self.end) + (self.end - self.start).astype(_U64))
         lead = (data & 0xC0) != 0x80
-        self.chars_before = np.concatenate([[0], np.cumsum(lead)])
-        self.char_at = np.append(np.flatnonzero(lead), n)
+        self.chars_before = _before(lead)
+        self.char_at = np.append(np.flatnonzero(lead).astype(np.int32), np.int32(n))
         self.lead = lead
 
     def parity(self, some: np.ndarray) -> np.ndarray:
@@ -82,7 +89,7 @@ def probe_shifts(k: int, delta: int, most: int) -> range:
 
 def signatures(lines: Lines, some: np.ndarray, most: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """((keys, lines) of the index, (keys, lines) of the probes) for the chosen lines."""
-    c0 = lines.chars_before[lines.start[some]]
+    c0 = lines.chars_before[lines.start[some]].astype(np.int64)
     length = lines.chars_before[lines.end[some]] - c0
 
     def keys(rows: np.ndarray, k: int, of: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -326,7 +333,7 @@ def dedup_lines(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> Da
     out = T.StructType(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.slices(batches):
             texts = []
             for text, kept in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if text:

@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.slices(batches):
             out = []
             for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words, n = kept_words(text.as_py(), ranges, length)

@@ -19,7 +19,7 @@ import numpy as np
 from . import blocks
 
 #: Runs kept before the cache starts anew.
-CACHE_RUNS = 250_000
+CACHE_RUNS = 150_000
 #: Letter runs encoded in one call.
 JOINED = 256
 #: The file's pattern, for ASCII words in lower case.
