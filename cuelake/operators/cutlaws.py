@@ -5,7 +5,7 @@ All of it is column expressions over arrays inside the row, so a text of any len
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word classes of the laws.
@@ -41,24 +41,47 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _codes(left: Column, a: Column, b: Column) -> Column:
-    """Codes of the laws that a cut breaks: the word before it, and both words folded."""
-    law = lambda code, when: F.when(when, F.lit(code))
+LAWS = ("postposition", "compound_verb", "bind_right", "pair", "numeral_unit")
+
+
+def _laws(left: Column, a: Column, b: Column) -> dict[str, Column]:
+    """Whether each law is broken by a cut, from the word before it and both words folded."""
     starts = lambda stems: "^(" + "|".join(stems) + ")"
-    clause_end = F.rtrim(left).rlike(f"[{CLAUSE_END}]$")
     pair = F.lit(False)
     for x, y in PAIRS:
         pair |= (a == x) & (b == y)
-    found = [
-        law("postposition", b.isin(POSTPOSITIONS) | (b.isin(AMBIGUOUS) & ~clause_end)),
-        law("compound_verb", (b != "") & a.rlike("(" + "|".join(CONVERBS) + ")$") & (b.isin(MODALS) | b.rlike(starts(LIGHT_VERBS)))),
-        law("bind_right", a.isin(BIND_RIGHT)),
-        law("pair", pair),
-        law("numeral_unit", (a.rlike(r"^\d+$") | a.isin(NUMERALS)) & b.rlike(starts(UNITS))),
-    ]
+    return dict(
+        postposition=b.isin(POSTPOSITIONS) | (b.isin(AMBIGUOUS) & ~F.rtrim(left).rlike(f"[{CLAUSE_END}]$")),
+        compound_verb=(b != "") & (b.isin(MODALS) | b.rlike(starts(LIGHT_VERBS))) & a.rlike("(" + "|".join(CONVERBS) + ")$"),
+        bind_right=a.isin(BIND_RIGHT),
+        pair=pair,
+        numeral_unit=(a.rlike(r"^\d+$") | a.isin(NUMERALS)) & b.rlike(starts(UNITS)),
+    )
+
+
+def _codes(left: Column, a: Column, b: Column) -> Column:
+    """Codes of the laws that a cut breaks."""
+    found = [F.when(when, F.lit(code)) for code, when in _laws(left, a, b).items()]
     return F.filter(F.array(*found), lambda c: c.isNotNull())
 
 
+def junction_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, k, left, right and a boolean for each law: one row per junction, all in generated code.
+
+    Rows of a text stay in its task, so what is summed per text is summed before any shuffle.
+    """
+    words = texts.select(key, words_of(F.col(text)).alias("w"))
+    pairs = words.select(key, F.posexplode(F.arrays_zip(F.col("w").alias("l"), F.slice("w", 2, F.size("w")).alias("r"))).alias("k", "j"))
+    rows = pairs.select(key, (F.col("k") + 1).alias("k"), F.col("j").getField("l").alias("left"), F.col("j").getField("r").alias("right")).filter("right IS NOT NULL")
+    rows = rows.withColumns({"_a": folded(F.col("left")), "_b": folded(F.col("right"))})
+    return rows.withColumns(_laws(F.col("left"), F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def fault_sum() -> Column:
+    """How many laws a row of ``junction_rows`` breaks."""
+    return sum((F.col(c).cast("int") for c in LAWS[1:]), F.col(LAWS[0]).cast("int"))
+
+
 def faults(left: Column, right: Column) -> Column:
     """Codes of the laws that a cut between two words breaks."""
     words = F.struct(left.alias("l"), folded(left).alias("a"), folded(right).alias("b"))

@@ -6,7 +6,7 @@ exact test follows. A pair is kept in the bucket where its overlap begins, so ea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,3 @@ def nearest_gap(points: DataFrame, gaps: DataFrame, key: str, reach: float, pad:
     best = moves.groupBy(key, "p").agg(F.min(F.struct("d", "to")).alias("m")).select(key, "p", F.col("m.to").alias("to"), F.col("m.d").alias("moved"))
     return points.join(best, [key, "p"], "left")
 
-
-def reached(column: Column, reach: float) -> tuple[Column, Column]:
-    return column - reach, column + reach

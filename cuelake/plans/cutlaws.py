@@ -33,14 +33,8 @@ _HITS = " + ".join(f"CAST({c} AS INTEGER)" for c in ("postposition", "compound_v
 
 @query("cut_ruler", _DOCS + f"SELECT id AS doc_id, count(*) AS positions, count(*) FILTER (WHERE {_HITS} = 0) AS legal, CAST(sum({_HITS}) AS BIGINT) AS fault_count FROM f GROUP BY id")
 def _(v):
-    def counts(j):
-        total = F.aggregate(j, F.lit(0), lambda n, x: n + F.size(x.codes))
-        legal = F.size(F.filter(j, lambda x: F.size(x.codes) == 0))
-        n = [F.size(j).alias("positions"), legal.alias("legal"), total.alias("fault_count")]
-        return F.struct(*[c.cast("long").alias(name) for c, name in zip(n, ("positions", "legal", "fault_count"), strict=True)])
-
-    rows = v.documents.select("doc_id", F.explode(F.array(C.bound(C.judged(C.words_of(F.col("text"))), counts))).alias("n"))
-    return rows.select("doc_id", "n.*").filter("positions > 0")
+    rows = C.junction_rows(v.documents, "doc_id", "text").select("doc_id", C.fault_sum().alias("n"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("positions"), F.count_if(F.col("n") == 0).alias("legal"), F.sum("n").alias("fault_count"))
 
 
 @query(
@@ -49,16 +43,14 @@ def _(v):
     + "SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN postposition THEN 'postposition' END, CASE WHEN compound_verb THEN 'compound_verb' END, CASE WHEN bind_right THEN 'bind_right' END, CASE WHEN pair THEN 'pair' END, CASE WHEN numeral_unit THEN 'numeral_unit' END], lambda c: c IS NOT NULL)) AS code FROM f) GROUP BY code",
 )
 def _(v):
-    codes = F.flatten(F.transform(C.judged(C.words_of(F.col("text"))), lambda x: x.codes))
-    return v.documents.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    rows = C.junction_rows(v.documents, "doc_id", "text").agg(*[F.count_if(F.col(c)).alias(c) for c in C.LAWS])
+    return rows.unpivot([], list(C.LAWS), "code", "n").filter("n > 0")
 
 
 @query("cut_illegal_positions", _DOCS + f"SELECT id AS doc_id, k, {_HITS} AS faults, {_HITS} * 260.0::DOUBLE AS penalty FROM f WHERE {_HITS} > 0")
 def _(v):
-    bad = F.filter(C.judged(C.words_of(F.col("text"))), lambda x: F.size(x.codes) > 0)
-    rows = v.documents.select("doc_id", F.explode(bad).alias("x"))
-    n = F.size("x.codes")
-    return rows.select("doc_id", F.col("x.k").cast("long").alias("k"), n.alias("faults"), (n * C.PENALTY).alias("penalty"))
+    rows = C.junction_rows(v.documents, "doc_id", "text").withColumn("faults", C.fault_sum()).filter("faults > 0")
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), "faults", (F.col("faults") * C.PENALTY).alias("penalty"))
 
 
 _BOUNDS = _laws("SELECT doc * 100000 + idx AS id, [list_extract(regexp_extract_all(text, '\\S+'), -1), list_extract(regexp_extract_all(nxt, '\\S+'), 1)] AS ws FROM (SELECT *, lead(text) OVER (PARTITION BY doc ORDER BY idx) AS nxt FROM cues) WHERE regexp_matches(text, '\\S') AND regexp_matches(nxt, '\\S')")

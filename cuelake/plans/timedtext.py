@@ -58,7 +58,6 @@ def _(v):
 
 @query("asr_segments", "SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS INTEGER) AS pos, start_s AS \"start\", end_s AS \"end\", trim(text) AS text FROM cues WHERE trim(text) <> ''")
 def _(v):
-    word = F.struct(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to")).alias("offsets"), F.col("text"))
     by_ms = F.struct(F.transform("cs", lambda c: F.struct(F.struct(c.start_ms.alias("from"), c.end_ms.alias("to")).alias("offsets"), c.text.alias("text"))).alias("transcription"))
     by_s = F.struct(F.transform("cs", lambda c: F.struct((c.start_ms / 1000.0).alias("start"), (c.end_ms / 1000.0).alias("end"), c.text.alias("text"))).alias("segments"))
     docs = v.cues.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("cs"))
