@@ -1,6 +1,7 @@
 """Licence scans by canonical digest lookup (native).
 
-A text is brought to lower case, loses lines that begin with a copyright mark and "all rights reserved", has every run
+A text is brought to lower case, loses copyright notices (from a mark at the beginning of a line, also after comment marks, that a
+sign or a year follows, to the line's end) and "all rights reserved", has every run
 of anything but letters and digits turned into one space and equivalent spellings made one; the digest of what is left
 is looked up among digests of known texts, made by the same expression. Whole texts are compared, never parts.
 
@@ -20,7 +21,9 @@ from .common import table
 from .license_texts import KNOWN, SPELLINGS
 
 BROADCAST_KNOWN = 20_000
-#: A line that starts with a copyright mark, from its beginning; "all rights reserved" wherever it stands.
+#: A notice from the beginning of its line: "copyright" with a sign or a year, or a sign with a year; "all rights reserved" wherever it stands.
+NOTICE = r"(^|\n)[ \t]*([/*#;%!>-]+[ \t]*)*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|(\(c\)|©)[ \t]*(copyright|[0-9]{4}))[^\n]*"
+#: The rule of the checking SQL, which is kept as dealt: any line that begins with "copyright" or a sign.
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 RESERVED = r"all rights reserved"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
@@ -28,7 +31,7 @@ NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """What is left of a text: words in lower case, one space before and after each."""
-    kept = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, "\n"), RESERVED, " ")
+    kept = F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE, "\n"), RESERVED, " ")
     words = F.regexp_replace(F.concat(F.lit(" "), kept, F.lit(" ")), NOT_WORDS, " ")
     for other, one in SPELLINGS:
         words = F.replace(words, F.lit(other), F.lit(one))
