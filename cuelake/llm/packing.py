@@ -63,7 +63,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, eos: int =
                     cols.append(pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))))
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
-        enc.cache.clear()  # the worker lives on
+        enc.forget()  # the worker lives on
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
