@@ -1,4 +1,4 @@
-"""What the operators share: cutting lineage and the word rule."""
+"""What the operators share: cutting lineage, spare column names and the word rule."""
 
 from __future__ import annotations
 
@@ -12,10 +12,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir holds; only where none is set, a local one is used."""
+    """The folder in spark.checkpoint.dir holds. Only where none is set and all tasks run on this machine, a local one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuelake-ck-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="cuelake-ck-")
+        sc.setCheckpointDir(folder)
+
+
+def spare(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that no column has, so that added columns never meet those of the input."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,15 +6,19 @@ what links connect, and its first line (smallest doc_id, then line number) stays
 1. Every distinct line of a block is cut into most + 1 segments of even length. It is indexed under (length, segment, content), and
    probes the substrings that can match a segment of a line of equal or smaller length: those whose start is within the
    shift that the edits left and right of the segment leave over. Segments and probes travel as hashes, packed by bucket.
-2. Per bucket, probes look up the index. Candidates whose parities of characters differ in more than two bits an edit go.
-3. Only the lines named by candidates are fetched, in a second scan that tests a Bloom filter of at most ``BLOOM_BITS`` bits (where more
-   lines than that are named, more are fetched, and the joins drop them). A banded bit-parallel edit distance verifies.
-4. Links go to connected components; classes meet the lines by hash, in joins that adaptive execution splits where a line is hot.
+2. Per bucket, probes look up the index. What leaves is a row for each line under a key that it shares with another, never
+   a row for each pair: lines whose parities of characters differ in more than two bits an edit from all others of the key stay behind.
+3. Only the lines named there are fetched, in a second scan that tests a Bloom filter of at most ``BLOOM_BITS`` bits (where more
+   lines than that are named, more are fetched, and the joins drop them).
+4. The lines of a key meet in cells of at most ``CELL_LINES`` a side, so a key that very many lines share is dealt over many tasks. A pair is
+   verified by a banded bit-parallel edit distance, in the cell of the first segment that it shares and nowhere else. A cell returns
+   how many links each line has there and a spanning forest of them: rows in proportion to its lines.
+5. The forests go to connected components; classes meet the lines by hash, in joins that adaptive execution splits where a line is hot.
 
 A line is known by 64 bits of hash. Blank lines are no lines: they are never linked and never removed, but a
 text of which no line stays is empty. Null texts have no lines and stay null; null doc_ids count as the largest; rows that share
 doc_id and text are one place, so both keep or lose the same lines; rows that share doc_id only go by a hash of their text; empty
-tables give no rows.
+tables give no rows. Extra columns pass through ``dedup_lines`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .common import cut, table
+from .common import cut, spare, table
 from .graph import components
 
 MOST = 2
 MIN_CHARS = 20
 BLOOM_BITS = 1 << 26
 BUCKET_BYTES = 8 << 20
+#: Lines of either side that meet in one cell.
+CELL_LINES = 512
+#: Pairs of one key up to which parities are compared before lines are fetched; with more, all lines of the key are.
+KEY_PAIRS = 1 << 16
+#: Hashes of lines that a task remembers, so as to send each once.
+SEEN_LINES = 1 << 20
 LAST_ID = (1 << 63) - 1
 _U64 = np.uint64
 _K = (_U64(0xC2B2AE3D27D4EB4F), _U64(0x165667B19E3779F9))
@@ -88,14 +98,15 @@ def probe_shifts(k: int, delta: int, most: int) -> range:
 
 
 def signatures(lines: Lines, some: np.ndarray, most: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """((keys, lines) of the index, (keys, lines) of the probes) for the chosen lines."""
+    """((keys, lines) of the index, (keys, lines) of the probes) for the chosen lines; the four highest bits of a key are its segment."""
     c0 = lines.chars_before[lines.start[some]].astype(np.int64)
     length = lines.chars_before[lines.end[some]] - c0
 
     def keys(rows: np.ndarray, k: int, of: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         first = lines.char_at[c0[rows] + at]
         last = lines.char_at[c0[rows] + at + size]
-        return blocks.mix64(blocks.slide(lines.prefix, first, last) + of.astype(_U64) * _K[0] + _U64(k + 1) * _K[1])
+        found = blocks.mix64(blocks.slide(lines.prefix, first, last) + of.astype(_U64) * _K[0] + _U64(k + 1) * _K[1])
+        return found >> _U64(4) | _U64(k) << _U64(60)
 
     index, probe = [], []
     everything = np.arange(len(some))
@@ -111,10 +122,18 @@ def signatures(lines: Lines, some: np.ndarray, most: int, least: int) -> tuple[t
     return tuple(tuple(np.concatenate(x) for x in zip(*part, strict=True)) for part in (index, probe))  # type: ignore[return-value]
 
 
-def _packed(lines: Lines, most: int, least: int, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+def _fresh(lines: Lines, least: int, seen: np.ndarray) -> np.ndarray:
+    """The first place of each long enough line of a block that is not among the sorted hashes ``seen``."""
     length = lines.chars_before[lines.end] - lines.chars_before[lines.start]
     some = np.flatnonzero(lines.real & (length >= least))
     some = some[np.unique(lines.hash[some], return_index=True)[1]]
+    if len(seen):
+        h = lines.hash[some]
+        some = some[seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h]
+    return some
+
+
+def _packed(lines: Lines, some: np.ndarray, most: int, least: int, n_buckets: int) -> Iterator[tuple[int, bytes]]:
     if not len(some):
         return
     parity = np.zeros(len(lines.hash), dtype=np.uint32)
@@ -159,23 +178,44 @@ def _unpack(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return out
 
 
-def _candidates(payloads: list[bytes], most: int, at_once: int = 2_000_000) -> np.ndarray:
-    """(n, 2) line hashes, smaller first, that share a signature and may be within ``most`` edits."""
+def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each in its run of equal keys, number of the run, sizes of the runs) of sorted keys."""
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    return np.arange(len(keys)) - first[run], run, np.diff(np.append(first, len(keys)))
+
+
+def _entries(payloads: list[bytes], most: int, cell: int = CELL_LINES, at_once: int = 2_000_000) -> tuple[np.ndarray, ...]:
+    """(keys, side: 0 index or 1 probe, lines, block of the line on its side, blocks on the other side) of lines that share a key with another one."""
     (ik, il, ip), (pk, pl, pp) = _unpack(payloads)
     left, right = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
+    _, run, size = _group(pk)
     many = right - left
-    found, at = [np.zeros((0, 2), dtype=np.uint64)], 0
-    upto = np.cumsum(many)
+    large = many * (size[run] if len(pk) else many) > KEY_PAIRS
+    hit = (np.zeros(len(ik), dtype=bool), large & (many > 0))
+    edge = np.zeros(len(ik) + 1, dtype=np.int64)
+    np.add.at(edge, left[large], 1)
+    np.add.at(edge, right[large], -1)
+    hit[0][:] = np.cumsum(edge)[:-1] > 0
+    many = np.where(large, 0, many)
+    at, upto = 0, np.cumsum(many)
     while at < len(pk):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
         i = blocks.ragged(left[at:to], many[at:to])
         p = np.repeat(np.arange(at, min(to, len(pk))), many[at:to])
         ok = (il[i] != pl[p]) & (np.bitwise_count(ip[i] ^ pp[p]) <= 2 * most)
-        pair = np.stack([il[i][ok], pl[p][ok]], axis=1)
-        pair.sort(axis=1)
-        found.append(np.unique(pair, axis=0) if len(pair) else pair)
+        hit[0][i[ok]] = True
+        hit[1][p[ok]] = True
         at = to
-    return np.unique(np.concatenate(found), axis=0)
+    keys, cols = (ik[hit[0]], pk[hit[1]]), []
+    for side, (key, line) in enumerate(((ik, il), (pk, pl))):
+        key, line, other = key[hit[side]], line[hit[side]], keys[1 - side]
+        rank, _, _ = _group(key)
+        across = np.searchsorted(other, key, "right") - np.searchsorted(other, key, "left")
+        cols.append((key, np.full(len(key), side), line, rank // cell, -(-across // cell)))
+    return tuple(np.concatenate(c) for c in zip(*cols, strict=True))
 
 
 def within_edits(a: str, b: str, most: int) -> bool:
@@ -218,42 +258,101 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def first_shared(x: str, y: str, most: int) -> int:
+    """The first segment of y that x has where at most ``most`` edits allow it; -1 if none. x is as long as y or longer."""
+    delta = len(x) - len(y)
+    for k in range(most + 1):
+        base, over = divmod(len(y), most + 1)
+        at, size = k * base + max(0, k - (most + 1 - over)), base + (k >= most + 1 - over)
+        if any(at + shift >= 0 and x.startswith(y[at : at + size], at + shift) for shift in probe_shifts(k, delta, most)):
+            return k
+    return -1
+
+
+def _parity(text: str) -> int:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    return int(np.bitwise_xor.reduce(np.uint32(1) << (raw[(raw & 0xC0) != 0x80] & 31).astype(np.uint32), initial=np.uint32(0)))
+
+
+def cell_links(k: int, index: dict[int, str], probe: dict[int, str], most: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """(links of each line, edges of a spanning forest of them) between the lines of a cell of segment k, by line hash.
+
+    A pair belongs to the cell of the first segment that it shares, with the longer line (of like ones, the one of smaller hash) as the probe.
+    """
+    hi, hp = (np.fromiter(x, dtype=np.int64, count=len(x)) for x in (index, probe))
+    ti, tp = list(index.values()), list(probe.values())
+    li, lp = (np.array([len(t) for t in x]) for x in (ti, tp))
+    bi, bp = (np.array([_parity(t) for t in x], dtype=np.uint32) for x in (ti, tp))
+    delta = lp[:, None] - li[None, :]
+    ok = (delta <= most) & ((delta > 0) | (delta == 0) & (hp[:, None] < hi[None, :])) & (np.bitwise_count(bp[:, None] ^ bi[None, :]) <= 2 * most)
+    degree: dict[int, int] = {}
+    above: dict[int, int] = {}
+    forest = []
+
+    def root(h: int) -> int:
+        while above.setdefault(h, h) != h:
+            above[h] = h = above[above[h]]
+        return h
+
+    for p, i in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+        x, y = tp[p], ti[i]
+        if first_shared(x, y, most) == k and within_edits(x, y, most):
+            a, b = int(hp[p]), int(hi[i])
+            degree[a] = degree.get(a, 0) + 1
+            degree[b] = degree.get(b, 0) + 1
+            if (ra := root(a)) != (rb := root(b)):
+                above[ra] = rb
+                forest.append((a, b))
+    return degree, forest
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(
         F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("doc"), F.xxhash64("text").alias("tkey"), "text"
     )
 
 
-def candidates(rows: DataFrame, most: int, least: int) -> DataFrame:
-    """(a, b) line hashes; rows: doc, tkey, text."""
+ENTRIES = "key long, k int, side int, h long, block int, across int"
+
+
+def candidates(rows: DataFrame, most: int, least: int, cell: int = CELL_LINES) -> DataFrame:
+    """A row for each line under each key that it shares with another one; rows: doc, tkey, text."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, int(total // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, dtype=_U64)
         for batch in batches:
             for _, _, offsets, data in blocks.text_blocks(batch.column(0)):
-                got = list(_packed(Lines(offsets, data), most, least, n_buckets))
+                lines = Lines(offsets, data)
+                some = _fresh(lines, least, seen)
+                seen = np.union1d(seen if len(seen) < SEEN_LINES else seen[:0], lines.hash[some])
+                got = list(_packed(lines, some, most, least, n_buckets))
                 b, p = zip(*got, strict=True) if got else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "payload"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[bytes]) -> pa.RecordBatch:
-            pairs = _candidates(held, most).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def out(bucket: int, held: list[bytes]) -> pa.RecordBatch:
+            key, side, line, block, across = _entries(held, most, cell)
+            whole = (key << _U64(24) | _U64(bucket & 0xFFFFFF)).view(np.int64)
+            k = (key >> _U64(36)).astype(np.int32)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            cols = (whole, k, side, line.view(np.int64), block, across)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "k", "side", "h", "block", "across"])
 
         bucket, held = None, []
         for batch in batches:
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and held:
-                    yield out(held)
+                    yield out(bucket, held)
                     held = []
                 bucket = b
                 held.append(p)
         if held:
-            yield out(held)
+            yield out(bucket, held)
 
     packed = rows.select("text").mapInArrow(send, "bucket int, payload binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, ENTRIES)
 
 
 def bloom(hashes: DataFrame, n: int) -> np.ndarray:
@@ -290,31 +389,43 @@ def occurrences(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc long, tkey long, line int, h long, text string")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """The pairs whose lines are within ``most`` edits. texts: h, text."""
+def verified(entries: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(a, b, n): with b, an edge of a cell's spanning forest; without, n links of line a found in a cell. texts: h, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [within_edits(x, y, most) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield kept.select(["a", "b"])
+        def out(k: int, sides: tuple[dict[int, str], dict[int, str]]) -> pa.RecordBatch:
+            degree, forest = cell_links(k, *sides, most)
+            a, b, n = [*degree, *(x for x, _ in forest)], [None] * len(degree) + [y for _, y in forest], [*degree.values(), *[None] * len(forest)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
-    named = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b"
-    )
-    return named.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def line_classes(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+        cell, k, sides = None, 0, ({}, {})
+        for batch in batches:
+            for key, part, x, y, side, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part, x, y) != cell and cell is not None:
+                    yield out(k, sides)
+                    sides = ({}, {})
+                cell, k = (key, part, x, y), part
+                sides[side][h] = text
+        if cell is not None:
+            yield out(k, sides)
+
+    spread = entries.join(texts, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    index = F.col("side") == 0
+    cells = spread.select("key", "k", F.when(index, F.col("block")).otherwise(F.col("other")).alias("x"), F.when(index, F.col("other")).otherwise(F.col("block")).alias("y"), "side", "h", "text")
+    at = ["key", "k", "x", "y"]
+    return cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long, n long")
+
+
+def line_classes(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS, cell: int = CELL_LINES) -> tuple[DataFrame, DataFrame]:
     """(every line: doc, tkey, line, h; every different line: h, first (doc, tkey, line) of its class, n_links)."""
     rows = _keyed(docs)
-    pairs = cut(candidates(rows, most, least))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    found = cut(occurrences(rows, bloom(named, 2 * pairs.count())))
+    entries = cut(candidates(rows, most, least, cell))
+    named = entries.select("h").distinct()
+    found = cut(occurrences(rows, bloom(named, named.count())))
     texts = found.filter("text is not null").groupBy("h").agg(F.min("text").alias("text"))
-    links = cut(verified(pairs, texts, most))
-    degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
-    label = components(links).select(F.col("node").alias("h"), "label")
+    links = cut(verified(entries, texts, most))
+    degree = links.filter("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n_links"))
+    label = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("h"), "label")
     distinct = found.groupBy("h").agg(F.min(F.struct("doc", "tkey", "line")).alias("own"))
     distinct = distinct.join(label.join(degree, "h"), "h", "left")
     distinct = distinct.select("h", "own", F.coalesce("label", "h").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -325,10 +436,10 @@ def line_classes(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> t
 def dedup_lines(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> DataFrame:
     """docs with the first line of each class left in the texts; n_chars, if there, follows the text."""
     _, classes = line_classes(docs, most, least)
-    kept = classes.select("first").distinct().groupBy("first.doc", "first.tkey").agg(F.collect_list("first.line").alias("_kept"))
-    kept = kept.withColumnsRenamed({"doc": "_doc", "tkey": "_tkey"})
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), "_t": F.xxhash64("text")})
-    joined = keyed.join(kept, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_tkey")), "left").drop("_d", "_t", "_doc", "_tkey")
+    d, t, kd, kt, stay_lines = spare(docs.columns, "d", "t", "kd", "kt", "kept")
+    kept = classes.select("first").distinct().groupBy(F.col("first.doc").alias(kd), F.col("first.tkey").alias(kt)).agg(F.collect_list("first.line").alias(stay_lines))
+    keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), t: F.xxhash64("text")})
+    joined = keyed.join(kept, (F.col(d) == F.col(kd)) & (F.col(t) == F.col(kt)), "left")
     at = docs.columns.index("text")
     out = T.StructType(docs.schema.fields)
 
@@ -345,7 +456,7 @@ def dedup_lines(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> Da
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    done = joined.select(*[F.col(c) for c in docs.columns], "_kept").mapInArrow(run, out)
+    done = joined.select(*[F.col(f"`{c}`") for c in docs.columns], stay_lines).mapInArrow(run, out)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
