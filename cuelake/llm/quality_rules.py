@@ -5,7 +5,8 @@ selectivity (the share of documents it rejects) are measured on a bounded sample
 per cost; a document leaves at its first failure. The base counts are part of the output and are made
 for every document; the other features are made only when a rule first asks for them.
 
-The sample is at most ``SAMPLE`` rows whose id hash is divisible by 16, as read first; it sets the order alone.
+The sample is about ``SAMPLE`` rows, those with the least hashes of the id, at most as many from one task; rules are timed where the rows lie, and
+only sums leave a task. The sample sets the order alone.
 
 Defined results: null text has no words; a document without words fails the base rule; rows that share a doc_id are
 judged each for itself; an empty table gives no rows. Only doc_id and text are read.
@@ -14,6 +15,7 @@ judged each for itself; an empty table gives no rows. Only doc_id and text are r
 from __future__ import annotations
 
 import time
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE = 256
+LAST = (1 << 63) - 1
 #: The symbols counted, and white space.
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: Marks that begin the lines of a list.
+MARKS = "-*•‣·"
 
 
 class Features:
@@ -96,6 +101,40 @@ def _top_word(f: Features) -> float:
     return Counter(f.words).most_common(1)[0][1] / f.n_words if f.words else 0.0
 
 
+def _top_pair(f: Features) -> float:
+    """Share of the words that the commonest pair of neighbours takes."""
+    pairs = Counter(zip(f.words, f.words[1:], strict=False))
+    return 2 * max(pairs.values(), default=0) / max(1, f.n_words)
+
+
+def _letterless(f: Features) -> float:
+    return sum(1 for w in f.text.split() if not (w.isalpha() or any(map(str.isalpha, w)))) / max(1, f.n_words)
+
+
+def _line_starts(f: Features) -> float:
+    """Share of the lines with words that begin with a list mark."""
+    lines = [x for x in f.text.split("\n") if x.strip(SPACE)]
+    return sum(x.strip(SPACE)[0] in MARKS for x in lines) / max(1, len(lines))
+
+
+def _line_ends(f: Features) -> float:
+    """Share of the lines with words that break off in dots."""
+    lines = [x for x in f.text.split("\n") if x.strip(SPACE)]
+    return sum(x.rstrip(SPACE).endswith(("...", "…")) for x in lines) / max(1, len(lines))
+
+
+def _repeated_fives(f: Features) -> float:
+    """Share of the five-word windows that occur earlier in the text."""
+    fives = list(zip(*(f.words[k:] for k in range(5)), strict=False))
+    return 1 - len(set(fives)) / max(1, len(fives)) if fives else 0.0
+
+
+def _packed(f: Features) -> float:
+    """Bytes of the text after compression for each byte before."""
+    raw = f.text.encode()
+    return len(zlib.compress(raw, 1)) / max(1, len(raw))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -110,30 +149,41 @@ RULES = (
     Rule("upper_case_share", lambda f: f.get("upper", _upper) > 0.5),
     Rule("duplicate_line_share", lambda f: f.n_dup_lines > 0 and f.n_dup_lines > 0.6 * f.get("lines", _lines)),
     Rule("one_word_share", lambda f: f.get("top_word", _top_word) > 0.4),
+    Rule("one_pair_share", lambda f: f.get("top_pair", _top_pair) > 0.4),
+    Rule("letterless_word_share", lambda f: f.get("letterless", _letterless) > 0.4),
+    Rule("list_line_share", lambda f: f.get("starts", _line_starts) > 0.9),
+    Rule("broken_line_share", lambda f: f.get("ends", _line_ends) > 0.5),
+    Rule("repeated_five_words", lambda f: f.n_repeat_words > 0 and f.get("fives", _repeated_fives) > 0.4),
+    Rule("compressibility", lambda f: f.get("packed", _packed) < 0.08),
 )
 
 
 def measure(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """rule -> (seconds a document, share rejected) on at most ``sample`` documents that pass the base rule."""
+    """rule -> (seconds a document, share rejected) on about ``sample`` documents that pass the base rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        spent, failed, n = np.zeros(len(rules)), np.zeros(len(rules), dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen = Features(text)
+            for text in batch.column(0):
+                if n >= sample:
+                    break
+                seen = Features(text.as_py())
                 if seen.base_failed():
                     continue
+                n += 1
                 for k, rule in enumerate(rules):
                     seen._made.clear()
                     began = time.perf_counter()
-                    failed = bool(rule.fails(seen))
-                    rows.append((k, time.perf_counter() - began, failed))
-        k, s, f = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.float64()), pa.array(f, pa.bool_())], names=["rule", "s", "failed"])
-
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text").limit(sample)
-    per = drawn.mapInArrow(run, "rule int, s double, failed boolean").groupBy("rule")
-    found = {r["rule"]: (r["s"], r["share"]) for r in per.agg(F.avg("s").alias("s"), F.avg(F.col("failed").cast("double")).alias("share")).collect()}
+                    failed[k] += bool(rule.fails(seen))
+                    spent[k] += time.perf_counter() - began
+        cols = (np.arange(len(rules), dtype=np.int32), spent, failed, np.full(len(rules), n))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rule", "s", "failed", "n"])
+
+    count = docs.count()
+    few = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(min(LAST, LAST * sample // max(1, count)))
+    per = docs.filter(few).select("text").mapInArrow(run, "rule int, s double, failed long, n long").groupBy("rule")
+    sums = per.agg(F.sum("s").alias("s"), F.sum("failed").alias("failed"), F.sum("n").alias("n")).collect()
+    found = {r["rule"]: (r["s"] / r["n"], r["failed"] / r["n"]) for r in sums if r["n"]}
     return {rule.name: found.get(k, (0.0, 0.0)) for k, rule in enumerate(rules)}
 
 
