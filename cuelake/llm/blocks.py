@@ -68,7 +68,7 @@ def prefixes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_blocks(column: pa.Array | pa.ChunkedArray, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array | pa.ChunkedArray, most: int | None = None, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, offsets into bytes, bytes) of blocks; null texts are empty."""
     most = BLOCK_BYTES if most is None else most
     if isinstance(column, pa.ChunkedArray):
@@ -86,7 +86,7 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, most: int | None = None) ->
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + (rows or n))
         yield at, to, offsets[at : to + 1] - offsets[at], raw[offsets[at] : offsets[to]]
         at = to
 

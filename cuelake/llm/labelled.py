@@ -12,7 +12,7 @@ def id_crc(modulus: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> DataFrame:
-    """(text, label) of at most ``per_class`` ids of either label, the first in order of a hash of the id.
+    """(text, label, place) of at most ``per_class`` ids of either label, the first in order of a hash of the id, which is the place.
 
     ``learn`` says which ids may be learnt from. Ids with several labels count with the greatest, ids with
     several texts with the least text; null ids, labels and texts are left out. The ids are bounded by
@@ -23,4 +23,4 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_c
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(known.filter("label = 0").orderBy(*order).limit(per_class))
     found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label", F.xxhash64("doc_id").alias("place"))

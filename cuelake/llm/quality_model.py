@@ -34,8 +34,8 @@ WEIGHTS = (1.0, 1.5, 1.5)
 RANK = 48
 NEIGHBOURS = 15
 CUT = 0.3
-#: Bytes of text scored at once.
-BLOCK = 1 << 20
+#: Bytes of text and number of texts scored at once: a text's terms take 12 KB however short it is.
+BLOCK, BLOCK_ROWS = 1 << 20, 1024
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, offsets, data in blocks.text_blocks(batch.column(0), BLOCK):
+            for a, b, offsets, data in blocks.text_blocks(batch.column(0), BLOCK, BLOCK_ROWS):
                 rows = []
                 for share in term_shares(offsets, data):
                     at = np.flatnonzero(share)
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(learn)
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    found = labelled.sample(docs, labels, "quality", learn, per_class).mapInArrow(run, "terms binary, label int").collect()
+    found = labelled.sample(docs, labels, "quality", learn, per_class).select("text", "label").mapInArrow(run, "terms binary, label int").collect()
     found = sorted((r["label"], bytes(r["terms"])) for r in found)
     y = np.array([k for k, _ in found])
     if len(set(y.tolist())) < 2:
@@ -153,19 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     return model
 
 
-def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """docs (doc_id, text and more) with score double."""
+def score(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
+    """docs (doc_id, text and more) with the score, a double, under a name; a column of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
             if not isinstance(model, float):
-                for a, b, offsets, data in blocks.text_blocks(batch.column(batch.schema.get_field_index("text")), BLOCK):
+                for a, b, offsets, data in blocks.text_blocks(batch.column(batch.schema.get_field_index("text")), BLOCK, BLOCK_ROWS):
                     found[a:b] = model.score(term_shares(offsets, data))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    docs = docs.select(*[c for c in docs.columns if c.lower() != name.lower()])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ Links then go to connected components. A bucket holds distinct fingerprints only
 so a group of near copies, however large, adds at most as many rows as it has different fingerprints.
 
 Defined results: null or wordless text has fingerprint zero, and is linked like any other; rows that share a doc_id
-each get a row; null doc_ids get rows and count last for component_id; an empty table gives no rows.
+each get a row; rows without an id count last for component_id, which is null where a component has no others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, spare, table
 from .graph import components
 
 #: Distinct fingerprints sampled to group the bits and to estimate candidates.
@@ -195,13 +195,14 @@ def keep_first(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: int =
 
     The ids that stay join the texts by id, so no component is gathered anywhere.
     """
-    key = {"_d": F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))}
-    rows = cut(fingerprints(docs.withColumns(key).select("_d", "_t", "text"), width, seed))
+    d, t, kd, kt = spare(docs.columns, "d", "t", "kd", "kt")
+    keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long"), t: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    rows = cut(fingerprints(keyed.select(F.col(d).alias("_d"), F.col(t).alias("_t"), "text"), width, seed))
     first = rows.groupBy("fp").agg(F.min(F.struct("_d", "_t")).alias("first"))
     stay = classes(rows, max_bits).join(first, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first._d").alias("_kd"), F.col("first._t").alias("_kt"))
-    joined = docs.withColumns(key).join(stay, (F.col("_d") == F.col("_kd")) & (F.col("_t") == F.col("_kt")), "left_semi")
-    return joined.dropDuplicates(["_d", "_t"]).select(*[F.col(c) for c in docs.columns])
+    stay = stay.select(F.col("first._d").alias(kd), F.col("first._t").alias(kt))
+    kept = keyed.join(stay, (F.col(d) == F.col(kd)) & (F.col(t) == F.col(kt)), "left_semi")
+    return kept.dropDuplicates([d, t]).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

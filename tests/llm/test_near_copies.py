@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from cuelake.llm import near_copies, simhash
 
@@ -36,7 +37,10 @@ def texts():
     return list(enumerate(rows)) + [(5, rows[5]), (None, rows[9])]
 
 
-def test_every_pair_is_found(spark):
+@pytest.mark.parametrize("hot, cell", [(64, 512), (3, 7), (0, 512)])
+def test_every_pair_is_found(spark, monkeypatch, hot, cell):
+    made = near_copies.keep_first
+    monkeypatch.setattr(near_copies, "keep_first", lambda docs: made(docs, hot=hot, cell=cell))
     rows = texts()
     sets = [shingles(t) for _, t in rows]
     parent = {s: s for s in sets}
@@ -75,3 +79,11 @@ def test_prefixes_lose_no_pair():
             if need <= y and need * 5 >= 4 * (x + y - need):
                 assert near_copies.least_shared(np.array(x), np.array(y)) == need
                 assert near_copies.least_in_prefixes(np.array(x), np.array(y)) >= 1
+
+
+def test_rows_grow_with_a_groups_sets_not_its_pairs(spark):
+    words = [f"v{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"end{k}"])) for k in range(700)], "doc_id long, text string")
+    pairs, cells = near_copies.candidates(docs.select("text"), 5)
+    assert pairs.count() < 700 * near_copies.HOT_SETS and cells.count() <= 700 * 60 * 3
+    assert [r.doc_id for r in near_copies.keep_first(docs).collect()] == [0]

@@ -72,7 +72,7 @@ def test_word_hashes_follow_words(rows):
 
 
 def brute_nearest(vectors, asked, k):
-    good = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in vectors if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
+    good = [(i, np.array(v, dtype=float)) for i, v in vectors if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
     queries = {}
     for i, v in good:
         if i in asked and (i not in queries or tuple(v) < tuple(queries[i])):
@@ -91,14 +91,13 @@ def brute_nearest(vectors, asked, k):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROWS_PER_CELL", 64)
-    monkeypatch.setattr(neighbours, "QUERIES_PER_CELL", 4)
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 64)
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(400)]
     vectors += [(400 + i, vectors[3][1]) for i in range(40)] + [(500, None), (501, [0.0] * 8), (502, [1.0, None] * 4), (503, [float("nan")] * 8), (504, [1.0] * 3), (None, [1.0] * 8), (20, vectors[8][1])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 10).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 10, cell_bytes=8 * 8 * 64).collect():
         got[r.query_id].append((r["rank"], r.score, r.vec_id))
     want = brute_nearest(vectors, set(range(0, 520, 20)), 10)
     assert set(got) == set(want)
@@ -349,7 +348,7 @@ def test_mixing(docs, rows, empty):
     target |= share
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.copies in (0, 1, 2) and r.source_size == size[r.source]
-    emitted = Counter(r.doc_id for r in mixing.emit(mixing.mix(docs)).collect())
+    emitted = Counter(r.doc_id for r in mixing.emit(docs).collect())
     want = Counter()
     for r in got:
         want[r.doc_id] += r.copies
