@@ -54,3 +54,42 @@ def _(v):
     quiet = S.pauses(S.speech_runs(v.levels, gate), gate, FRAME_S)
     cues = v.cues.select(F.col("doc").alias("tape"), "idx", F.col("start_s").alias("s"), F.col("end_s").alias("e"))
     return alignment.aligned(cues, quiet, gate, FRAME_S)
+
+
+def _blocks(v):
+    """The check's tapes: texts read as samples, in blocks of 64 bytes cut at odd places."""
+    from cuelake.streaming import tape as T
+
+    whole = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("tape"), F.encode("text", "UTF-8").alias("raw"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("raw") - 1, F.lit(0)), F.lit(4097)))
+    chunks = whole.select("tape", at.alias("at"), "raw").select("tape", F.col("at").cast("long").alias("at"), F.expr("substring(raw, at + 1, 4097)").alias("bytes"))
+    return T.whole_samples(chunks)
+
+
+@query("tape_levels")
+def _(v):
+    from cuelake.streaming import tape as T
+
+    return T.levels(_blocks(v), 160)
+
+
+@query(
+    "tape_heard",
+    """
+WITH n AS (SELECT doc_id AS tape, least(strlen(text) // 2, CAST(floor(least(greatest(doc_id % 3 / 2000.0::DOUBLE, 0.1::DOUBLE) * 60 + 60, 3600.0::DOUBLE) * 8000) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL)
+SELECT tape, round(n / 8000.0::DOUBLE, 3) AS heard_s, 6.0::DOUBLE AS paid_s, 66.0::DOUBLE AS reach_s, CASE WHEN n < 800 THEN 'too_short' END AS code, false AS cut_short FROM n WHERE n > 0""",
+)
+def _(v):
+    from cuelake.streaming import tape as T
+
+    tapes = v.documents.select(F.col("doc_id").alias("tape"), (F.col("doc_id") % 3 / 2000.0).alias("minutes"))
+    return T.heard(_blocks(v), tapes)
+
+
+@query("tape_voices")
+def _(v):
+    from cuelake.streaming import tape as T
+
+    cues = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("tape"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
+    windows = cues.select("tape", "idx", F.lit(0).alias("k"), (F.col("idx") * 150).cast("long").alias("a"), (F.col("idx") * 150 + 140).cast("long").alias("b"))
+    return T.voices(_blocks(v), windows)
