@@ -37,7 +37,7 @@ def texts():
     return list(enumerate(rows)) + [(5, rows[5]), (None, rows[9])]
 
 
-@pytest.mark.parametrize("hot, cell", [(64, 512), (3, 7), (0, 512)])
+@pytest.mark.parametrize("hot, cell", [(1024, 512), (3, 7), (0, 512)])
 def test_every_pair_is_found(spark, monkeypatch, hot, cell):
     made = near_copies.keep_first
     monkeypatch.setattr(near_copies, "keep_first", lambda docs: made(docs, hot=hot, cell=cell))
@@ -84,6 +84,6 @@ def test_prefixes_lose_no_pair():
 def test_rows_grow_with_a_groups_sets_not_its_pairs(spark):
     words = [f"v{k}" for k in range(60)]
     docs = spark.createDataFrame([(k, " ".join([*words, f"end{k}"])) for k in range(700)], "doc_id long, text string")
-    pairs, cells = near_copies.candidates(docs.select("text"), 5)
-    assert pairs.count() < 700 * near_copies.HOT_SETS and cells.count() <= 700 * 60 * 3
-    assert [r.doc_id for r in near_copies.keep_first(docs).collect()] == [0]
+    pairs, cells = near_copies.candidates(docs.select("text"), 5, hot=64)
+    assert pairs.count() < 700 * 64 and cells.count() <= 700 * 60 * 3
+    assert [r.doc_id for r in near_copies.keep_first(docs, hot=64).collect()] == [0]
