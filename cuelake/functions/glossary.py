@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,36 +13,57 @@ from pyspark.sql import functions as F
 MOST_OUT, GROWTH, SLACK = 200_000, 4, 4096
 
 
-def replace_terms(text: str, terms: dict[str, str]) -> str:
-    """Terms replaced in one pass, so a replacement is never matched again; the text itself where the result would be too long."""
+def replacer(terms: dict[str, str]) -> Callable[[str], str]:
+    """Replaces terms in one pass, so a replacement is never matched again; the text itself where the result would be too long."""
     keys = sorted((k for k in terms if k), key=lambda k: (-len(k), k.lower(), k))
     if not keys:
-        return text
+        return lambda text: text
     to: dict[str, str] = {}
     for k in keys:
         to.setdefault(k.lower(), terms[k])
     found = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, keys))})(?!\w)", re.IGNORECASE)
-    out = found.sub(lambda m: to.get(m[0].lower(), m[0]), text)
-    return text if len(out) > min(MOST_OUT, GROWTH * len(text) + SLACK) else out
+
+    def run(text: str) -> str:
+        out = found.sub(lambda m: to.get(m[0].lower(), m[0]), text)
+        return text if len(out) > min(MOST_OUT, GROWTH * len(text) + SLACK) else out
+
+    return run
+
+
+def replace_terms(text: str, terms: dict[str, str]) -> str:
+    return replacer(terms)(text)
+
+
+def masker(terms: dict[str, str]) -> Callable[[str], tuple[str, dict[str, str]]]:
+    """Makes marks of the terms found, longest term first, and returns the marks' meanings."""
+    known = [(re.compile(rf"(?<!\w){re.escape(k)}(?!\w)", re.IGNORECASE), f"⟦T{i}⟧", terms[k]) for i, k in enumerate(sorted((k for k in terms if k), key=len, reverse=True))]
+
+    def run(text: str) -> tuple[str, dict[str, str]]:
+        marks: dict[str, str] = {}
+        for found, mark, meaning in known:
+            text, n = found.subn(mark, text)
+            if n:
+                marks[mark] = meaning
+        return text, marks
+
+    return run
 
 
 def mask_terms(text: str, terms: dict[str, str]) -> tuple[str, dict[str, str]]:
-    """Terms found become marks, longest term first; the marks' meanings."""
-    marks: dict[str, str] = {}
-    for i, k in enumerate(sorted((k for k in terms if k), key=len, reverse=True)):
-        masked, n = re.subn(rf"(?<!\w){re.escape(k)}(?!\w)", f"⟦T{i}⟧", text, flags=re.IGNORECASE)
-        if n:
-            text, marks[f"⟦T{i}⟧"] = masked, terms[k]
-    return text, marks
+    return masker(terms)(text)
 
 
 def applied(text: Column, terms: dict[str, str]) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: replace_terms(t, terms), na_action="ignore"), "string")(text)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(replacer(terms), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def masked(text: Column, terms: dict[str, str]) -> Column:
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [mask_terms(t or "", terms) for t in s]
+        mask = masker(terms)
+        rows = [mask(t or "") for t in s]
         return pd.DataFrame({"text": [t for t, _ in rows], "marks": [m for _, m in rows]})
 
     return F.pandas_udf(run, "text string, marks map<string,string>")(text)

@@ -1,7 +1,8 @@
 """Script conversion between Cyrillic, legacy Latin and reformed Latin.
 
-Counting and detection are column expressions. Conversion depends on the case of the whole word around a letter, which
-column functions cannot say, so it runs on Arrow batches, each distinct text of a batch once.
+Counting, detection and normalising are column expressions, and so is conversion between the Latin alphabets wherever a text has none of the
+reformed letters: there only pairs of letters change. Conversion that depends on the case of the whole word around a letter, which
+column functions cannot say, runs on Arrow batches, on those texts alone that need it, and only words with such a letter are looked at.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of the Cyrillic alphabet and what they become.
@@ -33,6 +34,9 @@ OFFICIAL = "ʻ"
 TARGETS = {"latin": "latin", "lat": "latin", "cyrillic": "cyrillic", "cyr": "cyrillic", "new_latin": "new_latin", "newlatin": "new_latin", "new": "new_latin"}
 
 _RUN = re.compile(r"[^\W\d_]+")
+_NEW_LETTERS = "öğşçÖĞŞÇ"
+_ANY_NEW = re.compile(f"[{_NEW_LETTERS}]")
+_ANY_CYRILLIC_LETTER = re.compile("[" + "".join(sorted({*CYRILLIC, *(k.upper() for k in CYRILLIC)})) + "]")
 _TITLE = lambda s: s[:1].upper() + s[1:]
 
 
@@ -60,7 +64,7 @@ _LATIN_PAIRS, _REFORM_PAIRS = _pattern(LATIN), _pattern(REFORMED)
 
 
 def cyr2lat(text: str) -> str:
-    return _by_run(text, _CYR)
+    return _by_run(text, _CYR) if _ANY_CYRILLIC_LETTER.search(text) else text
 
 
 def lat2cyr(text: str) -> str:
@@ -77,7 +81,7 @@ def normalize(text: str) -> str:
 
 
 def from_reformed(text: str) -> str:
-    return _by_run(text, _OLD)
+    return _by_run(text, _OLD) if _ANY_NEW.search(text) else text
 
 
 def to_reformed(text: str) -> str:
@@ -114,13 +118,45 @@ def _batched(convert):
     return run
 
 
+#: Letters beyond ASCII that are composed as they stand, so that NFC leaves a text of them as it is: Latin-1, Cyrillic, punctuation of texts.
+_COMPOSED = r"^[\x00-\x7F\u00A0-\u00FF\u0100-\u017F\u0400-\u045F\u0490-\u04FF\u02BB\u02BC\u2010-\u2027\u2030-\u205E\u20AC]*$"
+
+
+def is_new_latin(text: Column) -> Column:
+    """Whether a text has a letter of the reformed alphabet."""
+    return text.rlike(f"[{_NEW_LETTERS}]")
+
+
+def _one_apostrophe(text: Column) -> Column:
+    return F.translate(text, APOSTROPHES, "'" * len(APOSTROPHES))
+
+
+def _pairs_reformed(text: Column) -> Column:
+    """o', g', sh, ch in any case to the reformed letters, capital where the pair begins with a capital."""
+    for pair, letter in REFORMED.items():
+        for first in (pair[0], pair[0].upper()):
+            for second in {pair[1], pair[1].upper()}:
+                text = F.replace(text, F.lit(first + second), F.lit(letter.upper() if first.isupper() else letter))
+    return text
+
+
 def transliterated(text: Column, to: str = "latin") -> Column:
-    """Null stays null."""
-    return F.pandas_udf(_batched(lambda t: transliterate(t, to)), "string")(text)
+    """Null stays null. Texts without Cyrillic and reformed letters, already composed, stay in generated code for the Latin targets."""
+    target = TARGETS.get(to.strip().lower(), "latin")
+    slow = F.pandas_udf(_batched(lambda t: transliterate(t, to)), "string")
+    if target == "cyrillic":
+        return slow(text)
+    plain = _one_apostrophe(text)
+    plain = _pairs_reformed(plain) if target == "new_latin" else plain
+    easy = text.rlike(_COMPOSED) & ~text.rlike(f"[Ѐ-ӿ{_NEW_LETTERS}]")
+    # the function gets null for easy texts, so it works on the others alone
+    return F.when(easy, plain).otherwise(slow(F.when(~easy, text)))
 
 
 def normalized(text: Column) -> Column:
-    return F.pandas_udf(_batched(normalize), "string")(text)
+    """One apostrophe, composed letters."""
+    easy = text.rlike(_COMPOSED)
+    return F.when(easy, _one_apostrophe(text)).otherwise(F.pandas_udf(_batched(normalize), "string")(F.when(~easy, text)))
 
 
 def official(text: Column) -> Column:
@@ -165,3 +201,72 @@ def html_escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
+
+
+#: Fragments of another language's function words, in either script.
+MARKERS_CYRILLIC = ("и ", "в ", "не ", "что ", "но ", "или ", "как ", "это ")
+MARKERS_LATIN = ("i ", "v ", "ne ", "no ", "ili ", "kak ", "eto ", "cto ")
+
+
+def _count(text: Column, part: str) -> Column:
+    """How often a part stands in a text, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def code_switches(text: Column, latin: Column) -> Column:
+    """How many markers of the other language a text has: Cyrillic ones in itself, Latin ones in its Latin form."""
+    padded = lambda x: F.concat(F.lit(" "), F.lower(x), F.lit(" "))
+    cyr, lat = padded(normalized(text)), padded(latin)
+    return sum((_count(lat, m) for m in MARKERS_LATIN), sum((_count(cyr, m) for m in MARKERS_CYRILLIC), F.lit(0)))
+
+
+def analyzed(texts: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """key and the sixteen fields of a text's analysis. Each conversion is made once; null text counts as empty."""
+    rows = texts.select(key, F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumns({"latin": transliterated(F.col("text"), "latin"), "cyrillic": transliterated(F.col("text"), "cyrillic")})
+    rows = rows.withColumns({"new_latin": transliterated(F.col("latin"), "new_latin"), "d": detected(F.col("text"))})
+    low = F.lower("text")
+    found = F.filter(F.array(*[F.lit(t) for t in terms or []]).cast("array<string>"), lambda t: (t != "") & F.contains(low, F.lower(t)))
+    return rows.select(
+        key, "d.script", "d.confidence", F.col("d.cyrillic").alias("cyrillic_count"), F.col("d.latin").alias("latin_count"), word_count(F.col("text")).alias("words"),
+        F.length("text").alias("chars"), "latin", "cyrillic", official(F.col("latin")).alias("official"), "new_latin", is_new_latin(F.col("text")).alias("has_reform_letters"),
+        (F.col("d.cyrillic") > 0).alias("has_cyrillic_letters"), F.col("latin").rlike("[a-zA-Z]").alias("has_legacy_latin_letters"),
+        code_switches(F.col("text"), F.col("latin")).alias("code_switch_hints"), found.alias("glossary_hits"), (F.col("d.cyrillic") > F.col("d.latin")).alias("is_cyrillic"),
+    )
+
+
+def converted(text: Column, to: str = "latin", with_official: bool = False, terms: dict[str, str] | None = None) -> Column:
+    """Text in the target script, then with a glossary's terms, then, for the Latin target only, with official apostrophes."""
+    from .glossary import applied
+
+    out = transliterated(F.coalesce(text, F.lit("")), to)
+    out = applied(out, terms) if terms else out
+    return official(out) if with_official and TARGETS.get(to.strip().lower(), "latin") == "latin" else out
+
+
+#: The small dictionary of the demo translation.
+DICTIONARY = {
+    "здравствуйте": "assalomu alaykum", "спасибо": "rahmat", "сегодня": "bugun", "завтра": "erta", "магазин": "do'kon", "цена": "narx",
+    "скидка": "chegirma", "заказ": "buyurtma", "доставка": "yetkazib berish", "телефон": "telefon", "время": "vaqt", "деньги": "pul",
+    "друг": "do'st", "дом": "uy", "вода": "suv", "хлеб": "non", "новый": "yangi", "хороший": "yaxshi", "большой": "katta",
+    "клиент": "mijoz", "услуга": "xizmat", "оплата": "to'lov",
+}
+
+
+def looked_up(text: Column, src: str, tgt: str) -> Column:
+    """Words of a text, parted by single spaces, replaced by a dictionary; signs around a word and a first capital stay. Null stays null."""
+    table = DICTIONARY if (src, tgt) == ("ru", "uz") else {v: k for k, v in DICTIONARY.items()} if (src, tgt) == ("uz", "ru") else {}
+    if src == "uz":
+        text = normalized(transliterated(text, "latin")) if tgt != "uz" else normalized(text)
+    if not table:
+        return text
+    words = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+    def one(word: Column) -> Column:
+        core = F.regexp_replace(word, r"^[.,!?;:«»()]+|[.,!?;:«»()]+$", "")
+        to = words[F.lower(core)]
+        capital = core.rlike(r"^\p{Lu}")
+        to = F.when(capital, F.concat(F.upper(F.substring(to, 1, 1)), F.substring(to, 2, 1000))).otherwise(to)
+        return F.when(to.isNotNull(), F.replace(word, core, to)).otherwise(word)
+
+    return F.array_join(F.transform(F.split(text, " "), one), " ")

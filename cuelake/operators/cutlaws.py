@@ -70,10 +70,11 @@ def junction_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     Rows of a text stay in its task, so what is summed per text is summed before any shuffle.
     """
-    words = texts.select(key, words_of(F.col(text)).alias("w"))
-    pairs = words.select(key, F.posexplode(F.arrays_zip(F.col("w").alias("l"), F.slice("w", 2, F.size("w")).alias("r"))).alias("k", "j"))
-    rows = pairs.select(key, (F.col("k") + 1).alias("k"), F.col("j").getField("l").alias("left"), F.col("j").getField("r").alias("right")).filter("right IS NOT NULL")
-    rows = rows.withColumns({"_a": folded(F.col("left")), "_b": folded(F.col("right"))})
+    words = texts.select(key, words_of(F.col(text)).alias("w")).filter(F.size("w") > 1)
+    words = words.select(key, "w", F.transform("w", folded).alias("f"))  # each word once, though it stands at two junctions
+    tail = lambda c: F.slice(c, 2, F.size(c))
+    pairs = F.arrays_zip(F.col("w").alias("left"), tail("w").alias("right"), F.col("f").alias("_a"), tail("f").alias("_b"))
+    rows = words.select(key, F.posexplode(pairs).alias("k", "j")).select(key, (F.col("k") + 1).alias("k"), "j.*").filter("right IS NOT NULL")
     return rows.withColumns(_laws(F.col("left"), F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 

@@ -96,3 +96,33 @@ def _(v):
         .otherwise(F.lower(c))
     )
     return v.users.select("id", out.alias("contact"))
+
+
+@query("new_latin_flags", "SELECT doc_id, regexp_matches(text, '[öğşçÖĞŞÇ]') AS reformed FROM documents")
+def _(v):
+    return v.documents.select("doc_id", S.is_new_latin(F.col("text")).alias("reformed"))
+
+
+@query("text_analysis")
+def _(v):
+    return S.analyzed(v.documents, "doc_id", "text", list(TERMS))
+
+
+_MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
+
+
+@query("code_switches", f"SELECT doc_id, CAST({_MARKS} AS INTEGER) AS hints FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS b FROM documents WHERE NOT regexp_matches(text, '[Ѐ-ӿöğşçÖĞŞÇʻ’`´ʼ]'))")
+def _(v):
+    rows = v.documents.filter(~F.col("text").rlike("[Ѐ-ӿöğşçÖĞŞÇʻ’`´ʼ]"))
+    return rows.select("doc_id", S.code_switches(F.col("text"), S.transliterated(F.col("text"), "latin")).alias("hints"))
+
+
+@query("texts_converted")
+def _(v):
+    return v.documents.select("doc_id", S.converted(F.col("text"), "latin", True, TERMS).alias("text"))
+
+
+@query("texts_looked_up", "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE regexp_replace(lower(w), '^[.,!?;:«»()]+|[.,!?;:«»()]+$', '', 'g') WHEN 'uy' THEN replace(w, 'uy', 'дом') WHEN 'non' THEN replace(w, 'non', 'хлеб') ELSE w END), ' ') AS text FROM (SELECT doc_id, 'uy. ' || regexp_replace(coalesce(text, ''), '[^ ]*[Nn]on[^ ]*|[Uu]y|pul|[^ -~]', '', 'g') || ' (non)' AS text FROM documents)")
+def _(v):
+    text = F.concat(F.lit("uy. "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ ]*[Nn]on[^ ]*|[Uu]y|pul|[^ -~]", ""), F.lit(" (non)"))
+    return v.documents.select("doc_id", S.looked_up(text, "uz", "ru").alias("text"))
