@@ -45,3 +45,76 @@ def _(v):
 def _(v):
     pct = F.create_map(F.lit("signup"), F.lit(5), F.lit("view"), F.lit(40), F.lit("purchase"), F.lit(100))
     return v.events.select(F.col("event_id").alias("id"), F.coalesce(pct[F.col("event_type")], F.lit(30)).alias("pct"))
+
+
+@query(
+    "frames_delivered",
+    "SELECT event_id AS id, user_id AS key, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS delivered FROM events",
+)
+def _(v):
+    return S.delivered(_hits(v), "1 day", 2)
+
+
+@query(
+    "events_fanned_out",
+    """
+WITH e AS (SELECT event_id AS id, user_id AS job_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE event_type END AS step FROM events),
+r AS (SELECT e.*, j.user_id FROM e JOIN jobs j ON j.id = e.job_id),
+h AS (SELECT CASE id % 2 WHEN 0 THEN 'done, failed' ELSE 'failed' END AS names, id, id * 7 % 1500 AS user_id FROM webhooks)
+SELECT id, user_id, 'frame' AS kind, CASE step WHEN 'done' THEN '100' WHEN 'failed' THEN '100' ELSE '30' END AS target FROM r
+UNION ALL SELECT id, user_id, 'notice', 'job_' || step FROM r WHERE step IN ('done', 'failed')
+UNION ALL SELECT r.id, r.user_id, 'call', CAST(h.id AS VARCHAR) FROM r JOIN h ON h.user_id = r.user_id AND contains(h.names, r.step) WHERE step IN ('done', 'failed')""",
+)
+def _(v):
+    from cuelake.functions.checks import progress
+
+    step = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    events = v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), step.alias("step"))
+    hooks = v.webhooks.select("id", (F.col("id") * 7 % 1500).alias("user_id"), F.when(F.col("id") % 2 == 0, "done, failed").otherwise("failed").alias("events"))
+    return S.fanned_out(events, v.jobs, hooks, progress(F.col("step")))
+
+
+@query("tickets_used_once", "SELECT user_id, event_type, min(event_id) AS id FROM events GROUP BY user_id, event_type")
+def _(v):
+    good = v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("event_type").alias("at"), F.lit(None).cast("string").alias("code"))
+    return S.used_once(good).filter("fresh").select(F.col("user").alias("user_id"), F.col("at").alias("event_type"), "id")
+
+
+@query(
+    "texts_chosen",
+    """
+WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '.srt' ELSE '.mp3' END AS ext FROM documents)
+SELECT '/in/' || doc_id || ext AS path, CASE WHEN ext = '.srt' THEN 'own' WHEN doc_id % 2 = 0 THEN 'sidecar' ELSE 'stand_in' END AS source FROM m""",
+)
+def _(v):
+    from cuelake.sources import choice
+
+    name = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"))
+    media = v.documents.select(F.concat(name, F.when(F.col("doc_id") % 3 == 0, ".srt").otherwise(".mp3")).alias("path"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("content"))
+    texts = v.documents.filter("doc_id % 2 = 0").select(F.concat(name, F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return choice.chosen(media, texts).select("path", "source")
+
+
+@query("texts_invented", "SELECT '/in/' || doc_id || '.mp3' AS path FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0")
+def _(v):
+    from cuelake.sources import choice
+
+    name = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"))
+    media = v.documents.select(F.concat(name, F.when(F.col("doc_id") % 3 == 0, ".srt").otherwise(".mp3")).alias("path"))
+    return choice.invented(media, v.documents.filter("doc_id % 2 = 0").select(F.concat(name, F.lit(".txt")).alias("path")))
+
+
+@query("stand_in_segments", "SELECT '/in/' || doc_id AS path, CAST(k AS INTEGER) AS pos, k * 4.0::DOUBLE AS \"start\", k * 4.0::DOUBLE + 4 AS \"end\" FROM (SELECT doc_id, unnest([0, 1]) AS k FROM documents)")
+def _(v):
+    from cuelake.sources import choice
+
+    return choice.stand_in(v.documents.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"))).drop("text")
+
+
+@query("recogniser_dialects", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'whispercpp' WHEN 2 THEN 'whispercpp' ELSE 'openai' END AS dialect FROM pages")
+def _(v):
+    from cuelake.sources import choice
+
+    k = F.col("page_id") % 4
+    asked = F.when(k == 0, "openai").otherwise("auto")
+    return v.pages.select("page_id", choice.dialect(asked, F.when(k == 1, "/usr/bin/Whisper-CLI").otherwise("/opt/asr"), F.when(k == 2, "ggml.BIN")).alias("dialect"))
