@@ -158,3 +158,20 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 )
+
+#: Digests of the canonical forms of long licences' whole texts, titles and appendices included.
+DIGESTS = (
+    ("Apache-2.0", "da187ac63b0466f81f7874c08f63ec7f0895617b03cd3de1c02ee97e3a8ddb5c"),
+    ("Artistic-1.0-Perl", "2d660626e0c71ec2936f0c39b004baf073f7a8d645b56b6191daca4bb56a0e3a"),
+    ("CC0-1.0", "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137"),
+    ("GFDL-1.2", "7bbe7eac90a99d9921cfe5f7db50db6178577d06ab93dbda0e97acb2e2771d22"),
+    ("GFDL-1.3", "1c760fe80d2f087d400f86b3a4a73c5630fd31064dfd368e50550c111abf4974"),
+    ("GPL-1.0", "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef"),
+    ("GPL-2.0", "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61"),
+    ("GPL-3.0", "ab75edbf73a72121bdba9fb3af792f1b33a1533edb22a286043c7478d958ee63"),
+    ("LGPL-2.0", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.1", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-3.0", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "37c464d014e7991cce21efad605e9a1549cdb4a1f6536357a7290d78a40ee996"),
+    ("MPL-2.0", "ecd73d0b06133127f062aa0bf409528a05378c67b442f2d240aef1f3a2391628"),
+)

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .license_texts import KNOWN, SPELLINGS
+from .common import spare, table
+from .license_texts import DIGESTS, KNOWN, SPELLINGS
 
 BROADCAST_KNOWN = 20_000
 #: A notice from the beginning of its line: "copyright" with a sign or a year, or a sign with a year; "all rights reserved" wherever it stands.
@@ -42,19 +42,21 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license_id: one row for each digest."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
+    """digest, license_id: one row for each digest, from (license_id, text) and from (license_id, digest)."""
+    rows = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    ready = spark.createDataFrame(list(digests), "license_id string, digest string")
+    return rows.unionByName(ready).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """docs with digest and license_id; known: digest, license_id."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("digest", "license_id")])
-    named = known.select(F.col("digest").alias("_digest"), "license_id")
+    """docs with digest and license_id, which replace columns of those names; known: digest, license_id."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("digest", "license_id")])
+    (other,) = spare(docs.columns, "digest")
+    named = known.select(F.col("digest").alias(other), "license_id")
     if named.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN:
         named = F.broadcast(named)
-    return docs.withColumn("digest", digest(F.col("text"))).join(named, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    return docs.withColumn("digest", digest(F.col("text"))).join(named, F.col("digest") == F.col(other), "left").drop(other)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +76,12 @@ def _sql_canonical(text: str) -> str:
 def _sql() -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({q(k)}, {q(t)})" for k, t in KNOWN)
+    ready = ", ".join(f"({q(k)}, {q(d)})" for k, d in DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({_sql_canonical("text")}) AS digest, min(license_id) AS license_id
-  FROM (VALUES {values}) AS k(license_id, text) GROUP BY 1
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT license_id, sha256({_sql_canonical("text")}) AS digest FROM (VALUES {values}) AS k(license_id, text)
+    UNION ALL SELECT license_id, digest FROM (VALUES {ready}) AS r(license_id, digest)) GROUP BY 1
 ), d AS (SELECT doc_id, sha256({_sql_canonical("text")}) AS digest FROM documents)
 SELECT d.doc_id, d.digest, known.license_id FROM d LEFT JOIN known ON d.digest = known.digest
 """
