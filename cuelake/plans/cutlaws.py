@@ -47,7 +47,7 @@ def _(v):
     return rows.unpivot([], list(C.LAWS), "code", "n").filter("n > 0")
 
 
-@query("cut_illegal_positions", _DOCS + f"SELECT id AS doc_id, k, {_HITS} AS faults, {_HITS} * 260.0::DOUBLE AS penalty FROM f WHERE {_HITS} > 0")
+@query("cut_illegal_positions", _DOCS + f"SELECT id AS doc_id, k, {_HITS} AS faults, ({_HITS}) * 260.0::DOUBLE AS penalty FROM f WHERE {_HITS} > 0")
 def _(v):
     rows = C.junction_rows(v.documents, "doc_id", "text").withColumn("faults", C.fault_sum()).filter("faults > 0")
     return rows.select("doc_id", F.col("k").cast("long").alias("k"), "faults", (F.col("faults") * C.PENALTY).alias("penalty"))
@@ -62,3 +62,24 @@ def _(v):
     rows = v.cues.withColumn("nxt", nxt).select("doc", C.words_of(F.col("text")).alias("a"), C.words_of(F.col("nxt")).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
     hard = F.size(C.faults(F.get("a", F.size("a") - 1), F.get("b", F.lit(0)))) > 0
     return rows.groupBy("doc").agg(F.count("*").alias("measured"), F.count_if(hard).alias("hard"))
+
+
+#: The driver's texts break no law, so the same queries run on texts with words of the laws put in.
+_PLANTED = _DOCS.replace("FROM documents", "FROM planted")
+
+
+@query("cut_ruler_planted", _PLANTED + f"SELECT id AS doc_id, count(*) AS positions, count(*) FILTER (WHERE {_HITS} = 0) AS legal, CAST(sum({_HITS}) AS BIGINT) AS fault_count FROM f GROUP BY id")
+def _(v):
+    rows = C.junction_rows(v.planted, "doc_id", "text").select("doc_id", C.fault_sum().alias("n"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("positions"), F.count_if(F.col("n") == 0).alias("legal"), F.sum("n").alias("fault_count"))
+
+
+@query("cut_faults_planted", _PLANTED + "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in C.LAWS) + " FROM f")
+def _(v):
+    return C.junction_rows(v.planted, "doc_id", "text").agg(*[F.count_if(F.col(c)).alias(c) for c in C.LAWS])
+
+
+@query("cut_positions_planted", _PLANTED + f"SELECT id AS doc_id, k, {_HITS} AS faults, ({_HITS}) * 260.0::DOUBLE AS penalty FROM f WHERE {_HITS} > 0")
+def _(v):
+    rows = C.junction_rows(v.planted, "doc_id", "text").withColumn("faults", C.fault_sum()).filter("faults > 0")
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), "faults", (F.col("faults") * C.PENALTY).alias("penalty"))

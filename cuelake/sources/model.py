@@ -71,6 +71,9 @@ FROM (
   SELECT conv_id AS doc, turn AS idx, text, role, ms, sum(ms) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM (SELECT *, greatest(2000, least(6000, CAST(floor(length(text) * 1000 / CAST(12 AS DOUBLE)) AS BIGINT))) AS ms FROM {conversations}) AS a
 ) AS b""",
+    "planted": """
+SELECT doc_id, replace(replace(replace(replace(replace(replace(text, ' the ', ' uch soat '), ' and ', ' va '), ' der ', ' u borib ketdi '), ' die ', ' shuning uchun '), ' que ', ' tekshirib, keyin '), ' de ', ' yozdi bilan ') AS text
+FROM {documents}""",
     "levels": (
         """
 SELECT vec_id AS tape, CAST(pos AS INT) AS f, abs(CAST(x AS DOUBLE)) AS level FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, x""",
