@@ -165,26 +165,37 @@ def official(text: Column) -> Column:
     return text
 
 
+def _letters_of(text: Column, kinds: str) -> Column:
+    """How many letters of some kinds a text has: what is gone once their runs are taken out, so a match is a run and not a letter."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{kinds}]+", ""))
+
+
 def cyrillic_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[Ѐ-ӿ]"))
+    return _letters_of(text, "Ѐ-ӿ")
 
 
 def latin_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[a-zA-ZöğşçÖĞŞÇ]"))
+    return _letters_of(text, "a-zA-ZöğşçÖĞŞÇ")
 
 
 def detected(text: Column) -> Column:
     """struct(script, cyrillic, latin, confidence): mixed if neither script has four fifths and both have a fifth; ties are latin."""
-    c, n = cyrillic_count(text), latin_count(text)
-    share = F.greatest(c, n) / (c + n)
-    script = (
-        F.when(c + n == 0, "other")
-        .when((share < 0.8) & (F.least(c, n) / (c + n) >= 0.2), "mixed")
-        .when(c > n, "cyrillic")
-        .otherwise("latin")
-    )
-    confidence = F.when(c + n == 0, 0.0).otherwise(F.round(share, 3))
-    return F.struct(script.alias("script"), c.alias("cyrillic"), n.alias("latin"), confidence.alias("confidence"))
+
+    def judged(x: Column) -> Column:
+        c, n = x.c, x.n
+        share = F.greatest(c, n) / (c + n)
+        script = (
+            F.when(c + n == 0, "other")
+            .when((share < 0.8) & (F.least(c, n) / (c + n) >= 0.2), "mixed")
+            .when(c > n, "cyrillic")
+            .otherwise("latin")
+        )
+        confidence = F.when(c + n == 0, 0.0).otherwise(F.round(share, 3))
+        return F.struct(script.alias("script"), c.alias("cyrillic"), n.alias("latin"), confidence.alias("confidence"))
+
+    # the counts are made once, however often they are asked for
+    counts = F.struct(cyrillic_count(text).alias("c"), latin_count(text).alias("n"))
+    return F.get(F.transform(F.array(counts), judged), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

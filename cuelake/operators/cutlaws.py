@@ -31,9 +31,10 @@ def words_of(text: Column) -> Column:
 
 
 def folded(word: Column) -> Column:
-    """Lower case, one apostrophe, no punctuation at the ends."""
-    low = F.translate(F.lower(word), APOSTROPHES, "'" * len(APOSTROPHES))
-    return F.regexp_replace(low, r"(?U)^[^\w']+|[^\w']+$", "")
+    """Lower case, one apostrophe, no punctuation at the ends. Most words are plain letters, which one look tells."""
+    low = F.lower(word)
+    one = F.translate(low, APOSTROPHES, "'" * len(APOSTROPHES))
+    return F.when(low.rlike("^[a-z0-9_']*$"), low).otherwise(F.regexp_replace(one, r"(?U)^[^\w']+|[^\w']+$", ""))
 
 
 def bound(value: Column, body) -> Column:
