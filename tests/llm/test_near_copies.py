@@ -37,7 +37,7 @@ def texts():
     return list(enumerate(rows)) + [(5, rows[5]), (None, rows[9])]
 
 
-@pytest.mark.parametrize("hot, cell", [(1024, 512), (3, 7), (0, 512)])
+@pytest.mark.parametrize("hot, cell", [(128, 512), (3, 7), (0, 512)])
 def test_every_pair_is_found(spark, monkeypatch, hot, cell):
     made = near_copies.keep_first
     monkeypatch.setattr(near_copies, "keep_first", lambda docs: made(docs, hot=hot, cell=cell))
