@@ -22,9 +22,8 @@ from .license_texts import DIGESTS, KNOWN, SPELLINGS
 
 BROADCAST_KNOWN = 20_000
 #: A notice from the beginning of its line: "copyright" with a sign or a year, or a sign with a year; "all rights reserved" wherever it stands.
-NOTICE = r"(^|\n)[ \t]*([/*#;%!>-]+[ \t]*)*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|(\(c\)|©)[ \t]*(copyright|[0-9]{4}))[^\n]*"
-#: The rule of the checking SQL, which is kept as dealt: any line that begins with "copyright" or a sign.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: The marks before it are one class and no repeated group, which would take stack for each mark of a long line.
+NOTICE = r"(^|\n)[ \t/*#;%!>-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|(\(c\)|©)[ \t]*(copyright|[0-9]{4}))[^\n]*"
 RESERVED = r"all rights reserved"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -66,7 +65,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    kept = f"regexp_replace(regexp_replace(lower({text}), {q(COPYRIGHT)}, chr(10), 'g'), {q(RESERVED)}, ' ', 'g')"
+    kept = f"regexp_replace(regexp_replace(lower({text}), {q(NOTICE)}, chr(10), 'g'), {q(RESERVED)}, ' ', 'g')"
     words = f"regexp_replace(' ' || {kept} || ' ', {q(NOT_WORDS)}, ' ', 'g')"
     for other, one in SPELLINGS:
         words = f"replace({words}, {q(other)}, {q(one)})"

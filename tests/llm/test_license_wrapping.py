@@ -44,3 +44,13 @@ def test_whole_long_licences(spark):
     assert rows
     got = licenses.scan(spark.createDataFrame(rows, "want string, text string").withColumn("_digest", licenses.F.lit("own")), licenses.known_digests(spark)).collect()
     assert all(r.license_id == r.want and r._digest == "own" for r in got)
+
+
+def test_long_lines_of_marks(spark):
+    name, text = licenses.KNOWN[0]
+    marks = ["- ", "# ", "*\t", "/ * ", "--- ", ">", "% ; "]
+    rows = [(k, f"a\n{m * 100_000}\nb") for k, m in enumerate(marks)]
+    rows += [(100 + k, f"{m * 100_000}Copyright 2020 A. Person\n{text}") for k, m in enumerate(marks)]
+    got = {r.n: r for r in licenses.scan(spark.createDataFrame(rows, "n int, text string"), licenses.known_digests(spark)).collect()}
+    assert len({got[k].digest for k in range(len(marks))}) == 1  # "a b" is left
+    assert all(got[100 + k].license_id == name for k in range(len(marks)))
