@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import hard_negatives, licenses, lines, mixing, neighbours, packing, quality_model, quality_rules, sharding, simhash, substrings, toxicity
+from . import (
+    conversations,
+    hard_negatives,
+    licenses,
+    lines,
+    mixing,
+    neighbours,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -17,10 +31,18 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_substrings": substrings.op10_substrings,
+        "op11_conversations": conversations.op11_conversations,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_sharding": sharding.op13_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_neighbours": neighbours.OP1_SQL, "op3_licenses": licenses.OP3_SQL, "op8_mixing": mixing.OP8_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_sharding": sharding.OP13_SQL}
+    return {
+        "op1_neighbours": neighbours.OP1_SQL,
+        "op3_licenses": licenses.OP3_SQL,
+        "op8_mixing": mixing.OP8_SQL,
+        "op11_conversations": conversations.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_sharding": sharding.OP13_SQL,
+    }
