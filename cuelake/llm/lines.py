@@ -224,26 +224,30 @@ def within_edits(a: str, b: str, most: int) -> bool:
         a, b = b, a
     if len(b) - len(a) > most:
         return False
-    same = 0
-    while same < len(a) and a[same] == b[same]:
+    same, end = 0, len(a)
+    while same < end and a[same] == b[same]:
         same += 1
-    a, b = a[same:], b[same:]
-    while a and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    longer = len(b) - len(a)
+    while end > same and a[end - 1] == b[end - 1 + longer]:
+        end -= 1
+    a, b = a[same:end], b[same : end + longer]
     if not a:
         return len(b) <= most
     width = 2 * most + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
-    where: dict[str, int] = {}
-    for k, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << k
     # bit j of the band in column i is row i + j - most of b; vertical steps in it are +1 (up) or -1 (down)
+    # where: for each character its rows in the band, as bits, and the column that they were last moved to
+    where: dict[str, tuple[int, int]] = {}
+    for row, c in enumerate(b[:most]):
+        where[c] = (where.get(c, (0, 0))[0] | 1 << (row + most), 0)
     up, down = mask ^ ((1 << most) - 1), 0
     score = most
     for i, c in enumerate(a):
-        shift = i - most
-        full = where.get(c, 0)
-        match = (full >> shift if shift >= 0 else full << -shift) & mask
+        if i + most < len(b):
+            bits, at = where.get(b[i + most], (0, i))
+            where[b[i + most]] = (bits >> (i - at) | top, i)
+        bits, at = where.get(c, (0, i))
+        match = bits >> (i - at)
         diagonal = ((((match & up) + up) ^ up) | match | down) & mask
         right_up = (down | ~(diagonal | up)) & mask
         right_down = diagonal & up
