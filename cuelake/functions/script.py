@@ -159,6 +159,12 @@ def normalized(text: Column) -> Column:
     return F.when(easy, _one_apostrophe(text)).otherwise(F.pandas_udf(_batched(normalize), "string")(F.when(~easy, text)))
 
 
+def romanized(text: Column) -> Column:
+    """Cyrillic letters as Latin ones, one apostrophe, composed letters; Latin letters of any alphabet stay."""
+    cyrillic = text.rlike("[Ѐ-ӿ]")
+    return F.when(~cyrillic, normalized(text)).otherwise(F.pandas_udf(_batched(lambda t: cyr2lat(normalize(t))), "string")(F.when(cyrillic, text)))
+
+
 def official(text: Column) -> Column:
     for c in "oOgG":
         text = F.replace(text, F.lit(f"{c}'"), F.lit(f"{c}{OFFICIAL}"))

@@ -34,14 +34,18 @@ def gates(levels: DataFrame, key: str = "tape") -> DataFrame:
     )
 
 
-def speech_runs(levels: DataFrame, gate: DataFrame, key: str = "tape") -> DataFrame:
-    """key, first, last: runs of frames between one at hi or above and one under lo; frames between the two keep their state."""
-    w = Window.partitionBy(key).orderBy("f")
+def live_frames(levels: DataFrame, gate: DataFrame, key: str = "tape") -> DataFrame:
+    """key, f, level, live: whether a frame lies in speech, which begins at hi and ends under lo; frames between the two keep their state. Silent tapes have no rows."""
+    w = Window.partitionBy(key).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
     rows = levels.join(gate.select(key, "hi", "lo", "silent"), key).filter(~F.col("silent"))
     said = F.when(F.col("level") >= F.col("hi"), True).when(F.col("level") < F.col("lo"), False)
-    live = F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    rows = rows.select(key, "f", live.alias("live")).filter("live")
-    island = F.col("f") - F.row_number().over(w)
+    return rows.select(key, "f", "level", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(False)).alias("live"))
+
+
+def speech_runs(levels: DataFrame, gate: DataFrame, key: str = "tape") -> DataFrame:
+    """key, first, last: runs of frames in speech."""
+    rows = live_frames(levels, gate, key).select(key, "f", "live").filter("live")
+    island = F.col("f") - F.row_number().over(Window.partitionBy(key).orderBy("f"))
     return rows.withColumn("i", island).groupBy(key, "i").agg(F.min("f").alias("first"), F.max("f").alias("last")).drop("i")
 
 

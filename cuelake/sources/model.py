@@ -83,6 +83,13 @@ FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM {
     ),
 }
 
+#: The cues with forms of address, answers, gaps and overlaps planted in them, so that every rule of speaker attribution has cases.
+VIEWS["talk"] = f"""
+SELECT doc, idx, (start_ms + shift) / CAST(1000 AS DOUBLE) AS start_s, (end_ms + shift) / CAST(1000 AS DOUBLE) AS end_s,
+  CASE CAST((doc * 3 + idx) % 11 AS INT) WHEN 1 THEN 'Assalomu alaykum, ' || text WHEN 2 THEN 'Va alaykum assalom. ' || text WHEN 3 THEN text || ' Siz keldingizmi?' WHEN 4 THEN text || ' Men keldim.'
+    WHEN 5 THEN 'ha' WHEN 6 THEN 'Rahmat, Ustoz aka. ' || text WHEN 7 THEN '— ' || text WHEN 8 THEN text || ' va' WHEN 9 THEN ' ' ELSE text END AS text
+FROM (SELECT *, 2600 * CAST(floor(idx / CAST(3 AS DOUBLE)) AS BIGINT) - CASE WHEN idx % 5 = 4 THEN 300 ELSE 0 END AS shift FROM ({VIEWS["cues"]}) AS c) AS d"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions import checks
-from cuelake.operators import alignment, signal, speech
+from cuelake.operators import alignment, signal, words
 from cuelake.sources.wav import SAMPLES_LEAST
 
 #: Every how many-th sample a profile takes, samples that it needs, samples of a block bucket.
@@ -138,5 +138,4 @@ def aligned_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
 def words_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
     """Word times of a tape's cues. cues: tape, idx, s, e, text."""
     found = levels(blocks, frame)
-    gate = signal.gates(found)
-    return speech.words_timed(cues, found, signal.speech_runs(found, gate), gate, frame / checks.PCM_RATE)
+    return words.words_timed(cues, found, signal.gates(found), frame / checks.PCM_RATE)

@@ -145,42 +145,6 @@ def test_admitted_stream(spark, tmp_path):
     assert [r.id for r in spark.table("adm").filter("admitted").orderBy("id").collect()] == [0, 1, 6, 7]
 
 
-def test_syllables():
-    from cuelake.operators.speech import weight
-
-    words = {"bog'ladim": 3, "stol": 1, "o'qish": 2, "keladigan": 4, "ODOB": 2, "бўғла": 1, "қиёма": 3, "100": 1}
-    assert {w: int(weight(w)) for w in words} == words
-
-
-@pytest.mark.parametrize(("text", "person"), [("Men tayyorman.", 1), ("Siz kelasizmi?", 2), ("Ishga tushirdik.", 1), ("U bog'ga bordi.", 0)])
-def test_person(text, person):
-    from cuelake.operators.speech import read
-
-    assert read(text).person == person
-
-
-def test_words_take_the_pauses():
-    from cuelake.operators.speech import time_words
-
-    # speech 0-.60, pause -.75, speech -1.25, pause -1.37, speech -2.07
-    level = np.array([0.3] * 30 + [0.001] * 8 + [0.3] * 25 + [0.001] * 6 + [0.3] * 35)
-    runs = [(0, 29), (38, 62), (69, 103)]
-    [(words, how, why)] = time_words([(0.0, 2.07, "salom dunyo yaxshi")], level, runs, 0.05, 0.02)
-    assert why is None and how == ["valley", "valley"]
-    assert 0.60 <= words[0][2] <= 0.76 and 1.25 <= words[1][2] <= 1.38 and words[-1][2] == 2.07
-    assert time_words([(0.0, 0.1, "a b c d e f"), (90.0, 95.0, "x"), (0.0, 1.0, "[S1] …")], level, runs, 0.05, 0.02) == [([], [], "too_fast"), ([], [], "outside_audio"), ([], [], "no_text")]
-
-
-def test_speakers_alternate():
-    from cuelake.operators.speech import attribute
-
-    text = ["Assalomu alaykum, siz tayyormisiz?", "Va alaykum assalom, men tayyorman.", "Siz qachon keldingiz?", "Kecha keldim."]
-    found = attribute([0.0, 3.0, 6.0, 9.0], [2.5, 5.5, 8.5, 11.0], text)
-    assert [f[0] for f in found] == [1, 2, 1, 2]
-    voices = [(0.1, 0.2, 0.3), (0.1, 0.2, 0.3), (0.5, 0.9, 0.9)]
-    assert [f[0] for f in attribute([0, 3, 6], [2, 5, 8], ["Bir.", "Ikki.", "Uch."], voices)] == [1, 1, 2]
-
-
 def test_align_moves_shared_cuts_as_one():
     from cuelake.operators.alignment import align
 
@@ -202,16 +166,20 @@ def test_align_long_tape():
     assert align([(0.0, 1.0)], [], 2.0).spans == [(0.0, 1.0)]
 
 
-def test_repair_keeps_words_and_clearance():
+def test_repair_keeps_words_and_clearance(spark):
     from cuelake.operators import repair
 
     long = "Bu juda uzun gap bo'lib, uni bitta kartaga sig'dirib bo'lmaydi, chunki unda juda ko'p so'z bor va ular o'qilishi kerak, shuning uchun uni bo'lamiz."
     cues = [(0.0, 4.0, long), (4.0, 4.3, "Qisqa."), (9.0, 9.0, "Oxiri")]
-    for sync in (False, True):
-        found, _ = repair.reflow(cues, sync)
-        assert " ".join(t for *_, t, _ in found).split() == " ".join(c[2] for c in cues).split()
-        assert all(a[1] + 0.08 <= b[0] + 1e-9 and a[1] - a[0] >= 0.05 for a, b in zip(found, found[1:]))
-        assert all(len(x) <= 42 for *_, t, _ in found for x in t.split("\n"))
+    rows = [(1, k, *c) for k, c in enumerate(cues)] + [(2, 0, 0.0, 60.0, long), (3, 0, 1.0, 2.0, None)]
+    got = repair.polished(spark.createDataFrame(rows, "doc long, idx long, start_s double, end_s double, text string")).orderBy("doc", "card").collect()
+    assert {r.doc: r.mode for r in got} == {1: "sync", 2: "readability"}
+    for doc in (1, 2):
+        found = [r for r in got if r.doc == doc]
+        assert " ".join(r.text for r in found).split() == " ".join(r[4] for r in rows if r[0] == doc).split()
+        assert [r.card for r in found] == list(range(1, len(found) + 1))
+        assert all(a.end + 0.08 <= b.start + 1e-9 and a.end - a.start >= 0.05 for a, b in zip(found, found[1:]))
+        assert all(len(x) <= 42 for r in found for x in r.text.split("\n"))
     assert repair.wrapped("rejani hozir uchun yozdik va keyin ularni hammaga ko'rsatdik").count("\n") == 1
     assert repair.fault_count("hozir", "uchun") == 1 and repair.fault_count("tekshirib,", "keyin") == 0
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import checks
-from cuelake.operators import speech
+from cuelake.operators import turns
 from cuelake.streaming import tape as T
 
 
@@ -92,24 +92,11 @@ def test_voices_reach_the_speakers(spark):
     low, high = [0.1, 0.02, 0.2], [0.3, 0.4, 1.2]
     rows = [(1, k, k * 3.0, k * 3.0 + 2.8, "Bugun havo yaxshi.", low if k % 2 == 0 else high) for k in range(6)]
     cues = spark.createDataFrame(rows, "doc long, idx long, start_s double, end_s double, text string, voice array<double>")
-    heard = [r.speaker for r in speech.speakers(cues, voice="voice").orderBy("idx").collect()]
-    deaf = [r.speaker for r in speech.speakers(cues).orderBy("idx").collect()]
+    heard = [r.speaker for r in turns.speakers(cues, voice="voice").orderBy("idx").collect()]
+    deaf = [r.speaker for r in turns.speakers(cues).orderBy("idx").collect()]
     assert heard == [1, 2, 1, 2, 1, 2] and deaf == [1] * 6
 
 
-def test_small_cyrillic_words_are_no_address():
-    assert not speech.read("Мен келдим, кейин кетдим").addresses
-    assert speech.read("Кел, Анвар").addresses and not speech.read("Men keldim, keyin ketdim").addresses
-
-
-def test_cyrillic_interview_parts_as_its_latin_twin():
-    latin = ["Assalomu alaykum, xush kelibsiz.", "Va alaykum assalom, rahmat.", "Siz qachon boshladingiz?", "Men o'n yil oldin boshladim.", "Hozir nima qilyapsiz?", "Men yangi kitob yozyapman."]
-    cyrillic = ["Ассалому алайкум, хуш келибсиз.", "Ва алайкум ассалом, раҳмат.", "Сиз қачон бошладингиз?", "Мен ўн йил олдин бошладим.", "Ҳозир нима қиляпсиз?", "Мен янги китоб ёзяпман."]
-    at = [k * 4.0 for k in range(6)]
-    parts = [[w for w, *_ in speech.attribute(at, [t + 3.5 for t in at], x)] for x in (latin, cyrillic)]
-    assert parts[0] == parts[1] and set(parts[0]) == {1, 2}
-
-
 def test_profile_windows_feed_voices(spark):
     cues = spark.createDataFrame([(1, 0, 0.0, 0.05), (1, 1, 0.05, 3.0), (1, 2, 3.0, 9.0)], "tape long, idx long, s double, e double")
     windows = cues.select("tape", "idx", F.explode(checks.profile_spans(F.col("s"), F.col("e"))).alias("w")).select("tape", "idx", "w.*")
