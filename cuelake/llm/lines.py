@@ -324,6 +324,7 @@ def candidates(rows: DataFrame, most: int, least: int, cell: int = CELL_LINES) -
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, int(total // BUCKET_BYTES))
 
+    @blocks.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=_U64)
         for batch in batches:
@@ -335,6 +336,7 @@ def candidates(rows: DataFrame, most: int, least: int, cell: int = CELL_LINES) -
                 b, p = zip(*got, strict=True) if got else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "payload"])
 
+    @blocks.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(bucket: int, held: list[bytes]) -> pa.RecordBatch:
             key, side, line, block, across = _entries(held, most, cell)
@@ -375,6 +377,7 @@ def occurrences(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(doc, tkey, line, h, text): every line; the text of those whose hash's bit is set in ``wanted``."""
     bits = _U64(len(wanted) * 64 - 1)
 
+    @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offsets, data in blocks.text_blocks(batch.column(2)):
@@ -396,6 +399,7 @@ def occurrences(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
 def verified(entries: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """(a, b, n): with b, an edge of a cell's spanning forest; without, n links of line a found in a cell. texts: h, text."""
 
+    @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(k: int, sides: tuple[dict[int, str], dict[int, str]]) -> pa.RecordBatch:
             degree, forest = cell_links(k, *sides, most)
@@ -447,6 +451,7 @@ def dedup_lines(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS) -> Da
     at = docs.columns.index("text")
     out = T.StructType(docs.schema.fields)
 
+    @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks.slices(batches):
             texts = []

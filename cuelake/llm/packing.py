@@ -39,6 +39,7 @@ SALT_ROWS = 20_000
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): texts as ids with an end mark, cut at capacity."""
 
+    @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import block_ids, encoder
 
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, eos: int = EOS, w
     at = slots(minimum_bin_slack(histogram, capacity))
     key = at["length"] * (1 << 44) + at["rank"]
 
+    @blocks.tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
