@@ -15,15 +15,25 @@ def decibels(x: Column) -> Column:
     return 20.0 * F.log10(F.greatest(x, F.lit(1e-9)))
 
 
-def nearest_rank(ordered: Column, p: float) -> Column:
-    """The value of an ordered array at rank round(p * (n - 1)), halves to even; 0 for none."""
-    return F.coalesce(F.get(ordered, F.rint((F.size(ordered) - 1) * F.lit(p)).cast("int")), F.lit(0.0))
+def histogram(levels: DataFrame, key: str = "tape") -> DataFrame:
+    """key, level, n: how many frames of a tape have a level. Histograms of parts of a tape, added up, are that of the tape."""
+    return levels.groupBy(key, "level").agg(F.count("*").alias("n"))
+
+
+def merged(histograms: DataFrame, key: str = "tape") -> DataFrame:
+    return histograms.groupBy(key, "level").agg(F.sum("n").alias("n"))
 
 
 def gates(levels: DataFrame, key: str = "tape") -> DataFrame:
     """key, frames, noise_floor, hi, lo, gate_db, tape_db, silent: each tape's own gate. Ranks are exact, over all of its frames."""
-    per = levels.groupBy(key).agg(F.count("*").alias("frames"), F.array_sort(F.collect_list("level")).alias("o"))
-    rows = per.select(key, "frames", nearest_rank(F.col("o"), FLOOR_PCT).alias("noise_floor"), nearest_rank(F.col("o"), SPEECH_PCT).alias("top"))
+    return gates_of(histogram(levels, key), key)
+
+
+def gates_of(counts: DataFrame, key: str = "tape") -> DataFrame:
+    """The gates of tapes whose histograms are given: the levels at rank round(p * (n - 1)), halves to even."""
+    rows = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(key).orderBy("level")), "frames": F.sum("n").over(Window.partitionBy(key))})
+    at = lambda p: F.min(F.when(F.col("upto") > F.rint((F.col("frames") - 1) * F.lit(p)), F.col("level")))
+    rows = rows.groupBy(key).agg(F.max("frames").alias("frames"), at(FLOOR_PCT).alias("noise_floor"), at(SPEECH_PCT).alias("top"))
     rows = rows.withColumns({"n_db": decibels(F.col("noise_floor")), "tape_db": decibels(F.col("top"))})
     middle = (F.greatest("n_db", F.col("tape_db") - DYNAMIC_DB) + F.col("tape_db")) / 2.0
     gate = F.least(F.greatest(middle, F.col("n_db") + ABOVE_FLOOR_DB), F.col("tape_db") - BELOW_SPEECH_DB)

@@ -30,6 +30,11 @@ z AS (SELECT tape, round(begins * 0.02::DOUBLE, 3) AS gs, round(first * 0.02::DO
 )
 
 
+def gates_sql(levels: str) -> str:
+    """The tables o to h, for a query with a table of levels of its own."""
+    return _GATES.replace("FROM levels", f"FROM {levels}")
+
+
 @query("tape_gates", _GATES + " SELECT tape, frames, round(noise_floor, 6) AS noise_floor, round(gate_db, 3) AS gate_db, round(tape_db, 3) AS tape_db, silent FROM g")
 def _(v):
     return S.gates(v.levels).select("tape", "frames", F.round("noise_floor", 6).alias("noise_floor"), F.round("gate_db", 3).alias("gate_db"), F.round("tape_db", 3).alias("tape_db"), "silent")

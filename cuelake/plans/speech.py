@@ -8,7 +8,10 @@ from cuelake.functions.script import APOSTROPHES
 from cuelake.operators import alignment, turns, words
 from cuelake.operators import signal as S
 from cuelake.plans.registry import query
-from cuelake.sources import sinks
+from cuelake.plans.signal import gates_sql
+from cuelake.session import shared_folder
+from cuelake.sources import sinks, tapes
+from cuelake.streaming import tape as T
 
 #: The tapes of the check have 64 levels; at this frame they last as long as a conversation's cues.
 FRAME_S = 0.5
@@ -160,18 +163,22 @@ def _(v):
 
 def _blocks(v):
     """The check's tapes: texts read as samples, in blocks of 64 bytes cut at odd places."""
-    from cuelake.streaming import tape as T
-
     raw = F.encode("text", "UTF-8")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length("text") - 1, F.lit(0)), F.lit(4097)), lambda at: F.struct(at.cast("long").alias("at"), F.substring(raw, at + 1, F.lit(4097)).alias("bytes")))
     chunks = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("tape"), F.inline(cut))
     return T.whole_samples(chunks)
 
 
-@query("tape_levels")
-def _(v):
-    from cuelake.streaming import tape as T
+#: Bytes of a text as whole numbers, and the energies and levels of frames of 160 samples made of them.
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: CAST('0x' || h AS INTEGER))"
+_FRAMES = """
+s AS (SELECT tape, i // 160 AS f, b[2 * i + 1] + 256 * b[2 * i + 2] AS u FROM (SELECT tape, b, unnest(range(len(b) // 2)) AS i FROM b)),
+e AS (SELECT tape, f, sum((CASE WHEN u > 32767 THEN u - 65536 ELSE u END) ** 2) AS energy, count(*) AS n FROM s GROUP BY tape, f),
+lv AS (SELECT tape, CAST(f AS INTEGER) AS f, sqrt(energy / 160) / 32768 AS level FROM e WHERE n = 160)"""
+
 
+@query("tape_levels", f"WITH b AS (SELECT doc_id AS tape, {_BYTES.format('text')} AS b FROM documents WHERE text IS NOT NULL), {_FRAMES} SELECT tape, f, level FROM lv")
+def _(v):
     return T.levels(_blocks(v), 160)
 
 
@@ -182,16 +189,52 @@ WITH n AS (SELECT doc_id AS tape, least(strlen(text) // 2, CAST(floor(least(grea
 SELECT tape, round(n / 8000.0::DOUBLE, 3) AS heard_s, 6.0::DOUBLE AS paid_s, 66.0::DOUBLE AS reach_s, CASE WHEN n < 800 THEN 'too_short' END AS code, false AS cut_short FROM n WHERE n > 0""",
 )
 def _(v):
-    from cuelake.streaming import tape as T
-
     tapes = v.documents.select(F.col("doc_id").alias("tape"), (F.col("doc_id") % 3 / 2000.0).alias("minutes"))
     return T.heard(_blocks(v), tapes)
 
 
 @query("tape_voices")
 def _(v):
-    from cuelake.streaming import tape as T
-
     cues = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("tape"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
     windows = cues.select("tape", "idx", F.lit(0).alias("k"), (F.col("idx") * 150).cast("long").alias("a"), (F.col("idx") * 150 + 140).cast("long").alias("b"))
     return T.voices(_blocks(v), windows)
+
+
+#: Texts of fifty documents, one after another, as a tape's samples.
+_TAPES = f"""
+WITH lying AS (SELECT CAST(floor(coalesce(doc_id, -1) / 50.0::DOUBLE) AS BIGINT) AS tape, doc_id, text FROM documents WHERE text IS NOT NULL),
+b AS (SELECT tape, {_BYTES.format("string_agg(text, '' ORDER BY doc_id, text)")} AS b FROM lying GROUP BY tape)"""
+
+
+def _laid(v) -> str:
+    """The folder of the check's tapes, written by the tape sink."""
+    folder = shared_folder(v.spark, "tapes")
+    tapes.register(v.spark)
+    at = F.coalesce("doc_id", F.lit(-1))
+    chunks = v.documents.filter("text IS NOT NULL").select(F.floor(at / 50).alias("tape"), at.alias("at"), F.encode("text", "UTF-8").alias("bytes"))
+    chunks.repartitionByRange("tape", "at").sortWithinPartitions("tape", "at", "bytes").write.format("tape").mode("append").save(folder)
+    return folder
+
+
+@query(
+    "tape_blocks",
+    _TAPES + " SELECT tape, CAST(k AS BIGINT) AS block, k * 1000 AS base, CAST(2 * least(1000, len(b) // 2 - k * 1000) AS INTEGER) AS bytes, upper(to_hex(b[2000 * k + 1])) AS first FROM (SELECT tape, b, unnest(range((len(b) // 2 + 999) // 1000)) AS k FROM b)",
+)
+def _(v):
+    rows = v.spark.read.format("tape").option("block", 1000).load(_laid(v))
+    return rows.select("tape", "block", "base", F.octet_length("pcm").alias("bytes"), F.ltrim(F.hex(F.substring("pcm", 1, 1)), F.lit("0")).alias("first"))
+
+
+@query(
+    "tape_curves",
+    _TAPES + ", " + _FRAMES + ", " + gates_sql("lv").strip()[5:] + """
+SELECT tape, frames, frames * 0.02::DOUBLE AS seconds, round(noise_floor, 9) AS noise_floor, round(gate_db, 6) AS gate_db, round(tape_db, 6) AS tape_db, silent FROM h""",
+)
+def _(v):
+    """Taken in as a stream of blocks, asked when it has ended."""
+    folder, store = _laid(v), shared_folder(v.spark, "levels")
+    blocks = v.spark.readStream.format("tape").option("block", 1000).load(folder)
+    tapes.end(folder)
+    T.collecting(blocks, 160, f"{store}/parts", f"{store}/checkpoint").awaitTermination()
+    found = T.curve(T.collected(v.spark, f"{store}/parts", 160), 160)
+    return found.select("tape", "frames", "seconds", F.round("noise_floor", 9).alias("noise_floor"), F.round("gate_db", 6).alias("gate_db"), F.round("tape_db", 6).alias("tape_db"), "silent")

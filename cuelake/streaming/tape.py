@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from cuelake.functions import checks
 from cuelake.operators import alignment, signal, words
@@ -55,8 +56,8 @@ def heard(blocks: DataFrame, tapes: DataFrame) -> DataFrame:
     )
 
 
-def levels(blocks: DataFrame, frame: int) -> DataFrame:
-    """tape, f, level: RMS of the tape's whole frames over full scale. Energies are whole numbers, so the cutting into blocks never shows."""
+def level_parts(blocks: DataFrame, frame: int) -> DataFrame:
+    """tape, f, energy, n: what each block adds to the energy of a frame, and with how many samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -69,11 +70,59 @@ def levels(blocks: DataFrame, frame: int) -> DataFrame:
                     parts.append(pd.DataFrame({"tape": tape, "f": f[first], "energy": np.add.reduceat(x * x, first), "n": np.diff(np.append(first, len(x)))}))
             yield pd.concat(parts) if parts else pd.DataFrame({"tape": [], "f": [], "energy": [], "n": []}).astype("int64")
 
-    sums = blocks.select("tape", "base", "pcm").mapInPandas(run, "tape long, f long, energy long, n long")
-    whole = sums.groupBy("tape", "f").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n")).filter(F.col("n") == frame)
+    return blocks.select("tape", "base", "pcm").mapInPandas(run, "tape long, f long, energy long, n long")
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """The same with one row for each frame."""
+    return parts.groupBy("tape", "f").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
+
+
+def levels_of(parts: DataFrame, frame: int) -> DataFrame:
+    """tape, f, level of the frames that are whole."""
+    whole = summed(parts).filter(F.col("n") == frame)
     return whole.select("tape", F.col("f").cast("int").alias("f"), (F.sqrt(F.col("energy") / frame) / 32768.0).alias("level"))
 
 
+def levels(blocks: DataFrame, frame: int) -> DataFrame:
+    """tape, f, level: RMS of the tape's whole frames over full scale. Energies are whole numbers, so the cutting into blocks never shows."""
+    return levels_of(level_parts(blocks, frame), frame)
+
+
+def collecting(blocks: DataFrame, frame: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """A query that takes in the blocks of a stream that are there, and then ends: each micro-batch's energies are one folder of Parquet.
+
+    A micro-batch that is run again replaces its folder, so nothing counts twice. No state is kept: a frame that blocks of several micro-batches share
+    is summed when the parts are read, and a tape can be asked for its curve, cues or words whenever it has ended.
+    """
+
+    none = blocks.sparkSession.createDataFrame([], "tape long, f long, energy long, n long")
+    none.write.mode("overwrite").parquet(f"{folder}/batch=none")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        summed(level_parts(rows, frame)).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return blocks.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def collected(spark: SparkSession, folder: str, frame: int) -> DataFrame:
+    """The levels of the tapes that ``collecting`` took in."""
+    return levels_of(spark.read.schema("tape long, f long, energy long, n long").option("recursiveFileLookup", "true").parquet(folder), frame)
+
+
+def curve(found: DataFrame, frame: int) -> DataFrame:
+    """tape, frames, seconds, noise_floor, gate_db, tape_db, silent, speech_s, pauses: what a tape's curve says once it has ended; found: levels."""
+    frame_s, gate = frame / checks.PCM_RATE, signal.gates(found)
+    runs = signal.speech_runs(found, gate)
+    said = runs.groupBy("tape").agg((F.sum(F.col("last") - F.col("first") + 1) * F.lit(frame_s)).alias("speech_s"))
+    quiet = signal.pauses(runs, gate, frame_s).groupBy("tape").agg(F.count("*").alias("pauses"))
+    rows = gate.join(said, "tape", "left").join(quiet, "tape", "left")
+    return rows.select(
+        "tape", "frames", (F.col("frames") * F.lit(frame_s)).alias("seconds"), "noise_floor", "gate_db", "tape_db", "silent",
+        F.coalesce("speech_s", F.lit(0.0)).alias("speech_s"), F.coalesce("pauses", F.lit(0)).alias("pauses"),
+    )
+
+
 def voice(samples: np.ndarray) -> tuple[float, float, float] | None:
     """(loudness, share of sign changes, brightness: root of the steps' energy over the samples'); None for few samples or silence."""
     x = samples.astype(np.int64)
@@ -128,14 +177,20 @@ def lost(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("tape").agg(F.count("*").alias("cues"), F.count_if(F.col("voice").isNull()).alias("lost"))
 
 
-def aligned_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
-    """Cues of a tape moved into its pauses. cues: tape, idx, s, e."""
-    found, frame_s = levels(blocks, frame), frame / checks.PCM_RATE
-    gate = signal.gates(found)
+def aligned_levels(found: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
+    """Cues of tapes moved into their pauses. found: levels, of a table of blocks or collected from a stream; cues: tape, idx, s, e."""
+    frame_s, gate = frame / checks.PCM_RATE, signal.gates(found)
     return alignment.aligned(cues, signal.pauses(signal.speech_runs(found, gate), gate, frame_s), gate, frame_s)
 
 
-def words_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
-    """Word times of a tape's cues. cues: tape, idx, s, e, text."""
-    found = levels(blocks, frame)
+def words_levels(found: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
+    """Word times of tapes' cues. found: levels, as above; cues: tape, idx, s, e, text."""
     return words.words_timed(cues, found, signal.gates(found), frame / checks.PCM_RATE)
+
+
+def aligned_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
+    return aligned_levels(levels(blocks, frame), cues, frame)
+
+
+def words_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
+    return words_levels(levels(blocks, frame), cues, frame)
