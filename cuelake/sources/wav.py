@@ -69,13 +69,3 @@ def read_levels(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "code", "rate", "samples", "levels"]).astype({"rate": "Int64", "samples": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "path string, code string, rate long, samples long, levels array<double>")
-
-
-def mixed(lines: list[tuple[int, np.ndarray]], most: int) -> tuple[np.ndarray, bool]:
-    """Lines (first sample, samples) summed in their order into one 16-bit tape of at most ``most`` samples, clipped at full scale; whether a tail was cut."""
-    total = max((at + len(x) for at, x in lines), default=0)
-    out = np.zeros(min(total, most), dtype=np.int32)
-    for at, x in lines:
-        part = x[: max(0, len(out) - at)]
-        out[at : at + len(part)] = np.clip(out[at : at + len(part)] + part, -32768, 32767)
-    return out.astype(np.int16), total > most

@@ -187,7 +187,7 @@ def test_repair_keeps_words_and_clearance(spark):
 def test_wav(spark, tmp_path):
     import wave
 
-    from cuelake.sources.wav import mixed, read_levels
+    from cuelake.sources.wav import read_levels
 
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
@@ -195,5 +195,3 @@ def test_wav(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"OggS" + bytes(40))
     rows = {r.path[-5:]: r for r in read_levels(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert rows["a.wav"].levels == [0.5] * 10 and rows["a.wav"].rate == 8000 and rows["b.wav"].code == "not_wav"
-    tape, cut = mixed([(0, np.full(4, 30000)), (2, np.full(4, 30000))], 5)
-    assert tape.tolist() == [30000, 30000, 32767, 32767, 30000] and cut
