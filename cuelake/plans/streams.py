@@ -12,12 +12,32 @@ def _hits(v):
     return v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("failed"))
 
 
-@query("hits_admitted")
+_TIMED = "n AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query(
+    "hits_admitted",
+    f"""
+WITH RECURSIVE {_TIMED},
+s AS (SELECT id, key, k, true AS admitted, [t] AS kept FROM n WHERE k = 1
+  UNION ALL SELECT n.id, n.key, n.k, len(x.live) < 2, CASE WHEN len(x.live) < 2 THEN list_append(x.live, n.t) ELSE x.live END
+  FROM s JOIN n ON n.key = s.key AND n.k = s.k + 1, LATERAL (SELECT list_filter(s.kept, lambda a: a > n.t - 86400) AS live) AS x)
+SELECT id, key, admitted FROM s""",
+)
 def _(v):
     return S.admitted(_hits(v), 86400.0, 2)
 
 
-@query("breaker_states")
+@query(
+    "breaker_states",
+    f"""
+WITH RECURSIVE {_TIMED},
+s AS (SELECT id, key, k, 'closed' AS state, CAST(failed AS INTEGER) AS run, NULL::DOUBLE AS since FROM n WHERE k = 1
+  UNION ALL SELECT id, key, k, state, CASE WHEN state = 'open' THEN run WHEN failed THEN run + 1 ELSE 0 END,
+    CASE WHEN state = 'open' THEN since WHEN NOT failed THEN NULL WHEN state = 'half_open' OR run + 1 >= 5 THEN t ELSE since END
+  FROM (SELECT n.id, n.key, n.k, n.t, n.failed, s.run, s.since, CASE WHEN s.since IS NULL THEN 'closed' WHEN n.t - s.since < 60 THEN 'open' ELSE 'half_open' END AS state FROM s JOIN n ON n.key = s.key AND n.k = s.k + 1))
+SELECT id, key, state FROM s""",
+)
 def _(v):
     return S.breaker(_hits(v))
 
@@ -34,6 +54,22 @@ def _(v):
     return S.spends(v.ledger)
 
 
+@query(
+    "sessions_kept",
+    """
+WITH RECURSIVE n AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), event_id) AS k FROM events),
+s AS (SELECT user_id, k, t, t AS renewed, 1 AS renews, 1 AS session FROM n WHERE k = 1
+  UNION ALL SELECT n.user_id, n.k, n.t, CASE WHEN s.renewed + 172800 < n.t OR n.t - s.renewed > 86400 THEN n.t ELSE s.renewed END,
+    CASE WHEN s.renewed + 172800 < n.t OR n.t - s.renewed > 86400 THEN 1 ELSE 0 END, s.session + CASE WHEN s.renewed + 172800 < n.t THEN 1 ELSE 0 END
+  FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k + 1)
+SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS requests, CAST(sum(renews) AS BIGINT) AS renewals, max(renewed) + 172800 AS expires FROM s GROUP BY user_id, session""",
+)
+def _(v):
+    from cuelake.operators import sessions
+
+    return sessions.sessions(_hits(v).select("id", F.col("key").alias("user_id"), "at"), hold=2 * 86400, step=86400)
+
+
 @query("events_per_day", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def _(v):
     at = v.events.withColumn("at", F.col("ts").cast("timestamp"))

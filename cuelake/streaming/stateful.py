@@ -1,7 +1,7 @@
 """Folds over ordered events of a key: sliding admission, breakers, balances, block feeds.
 
-Each decision depends on the ones before it, so a key's events go to one task in order. The folds are plain functions over arrays; batch plans call them by
-``applyInPandas`` and streams keep their state by ``applyInPandasWithState``.
+Each decision depends on the ones before it, so a key's events go to one task in order. Tables pass by ``fold``, batch by batch, so a key of any
+size holds its state only; streams keep their state by ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import parse_qsl
 
 import numpy as np
@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cuelake.operators.ordered import fold
+
 #: The breaker's failures in a row and its cooldown.
 FAILURES, COOLDOWN_S = 5, 60.0
 #: Frames that a slow client's queue holds; how long a ticket and a sign-in stand, and how far one may lie ahead.
 QUEUE, TICKET_TTL, SIGN_IN_S, AHEAD_S = 64, "15 seconds", 6 * 3600, 90
 
 
-def admit_fold(at: np.ndarray, seconds: float, most: int, kept: deque | None = None) -> tuple[list[bool], deque]:
+def admit_fold(at: Iterable[float], seconds: float, most: int, kept: deque | None = None) -> tuple[list[bool], deque]:
     """Whether each hit is let in: fewer than ``most`` admitted ones lie in the window before it. Only admitted hits count."""
     kept = deque() if kept is None else kept
     out = []
@@ -38,67 +40,56 @@ def admit_fold(at: np.ndarray, seconds: float, most: int, kept: deque | None = N
     return out, kept
 
 
-def breaker_fold(at: np.ndarray, failed: np.ndarray, failures: int = FAILURES, cooldown: float = COOLDOWN_S) -> list[str]:
-    """The breaker's answer to each call: closed, open (refused) or half_open (tried after the cooldown)."""
-    run, since, out = 0, None, []
-    for t, bad in zip(at, failed, strict=True):
-        if since is not None and t - since < cooldown:
-            out.append("open")
-            continue
-        trial = since is not None
-        out.append("half_open" if trial else "closed")
-        if not bad:
-            run, since = 0, None
-        else:
-            run += 1
-            if trial or run >= failures:
-                since = t
-    return out
-
-
-def spend_fold(delta: np.ndarray) -> tuple[list[bool], list[float]]:
-    """Credits always count; a debit counts only where the balance covers it. Returns what counted and the balance after each."""
-    balance, ok, after = 0, [], []
-    for d in delta:
-        fine = d >= 0 or balance + d >= 0
-        balance = balance + d if fine else balance
-        ok.append(fine)
-        after.append(balance)
-    return ok, after
+def admitted(hits: DataFrame, seconds: float, most: int) -> DataFrame:
+    """id, key, admitted. hits: id, key, at (timestamp). Hits of one moment go by id."""
+    timed = hits.select("id", "key", (F.unix_micros("at") / 1e6).alias("t"))
+    step = lambda kept, row: (admit_fold([row["t"]], seconds, most, kept)[0][0],)
+    return fold(timed, ["key"], ["t", "id"], deque, step, "admitted boolean").select("id", "key", "admitted")
 
 
-def admitted(hits: DataFrame, seconds: float, most: int) -> DataFrame:
-    """id, key, admitted. hits: id, key, at (timestamp)."""
+class Breaker:
+    """Failures in a row, and since when calls are refused."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        return pd.DataFrame({"id": rows["id"], "key": rows["key"], "admitted": admit_fold(rows["t"].to_numpy(), seconds, most)[0]})
+    def __init__(self, failures: int = FAILURES, cooldown: float = COOLDOWN_S):
+        self.failures, self.cooldown, self.run, self.since = failures, cooldown, 0, None
 
-    timed = hits.select("id", "key", (F.unix_micros("at") / 1e6).alias("t"))
-    return timed.groupBy("key").applyInPandas(run, "id long, key long, admitted boolean")
+    def call(self, t: float, failed: bool) -> str:
+        """closed, open (refused) or half_open (tried after the cooldown)."""
+        trial = self.since is not None
+        if trial and t - self.since < self.cooldown:
+            return "open"
+        self.run = self.run + 1 if failed else 0
+        if not failed:
+            self.since = None
+        elif trial or self.run >= self.failures:
+            self.since = t
+        return "half_open" if trial else "closed"
 
 
 def breaker(calls: DataFrame) -> DataFrame:
     """id, key, state. calls: id, key, at (timestamp), failed."""
+    timed = calls.select("id", "key", "failed", (F.unix_micros("at") / 1e6).alias("t"))
+    return fold(timed, ["key"], ["t", "id"], Breaker, lambda b, row: (b.call(row["t"], row["failed"]),), "state string").select("id", "key", "state")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        return pd.DataFrame({"id": rows["id"], "key": rows["key"], "state": breaker_fold(rows["t"].to_numpy(), rows["failed"].to_numpy())})
 
-    timed = calls.select("id", "key", "failed", (F.unix_micros("at") / 1e6).alias("t"))
-    return timed.groupBy("key").applyInPandas(run, "id long, key long, state string")
+def _spend(purse: dict, row: dict) -> tuple[bool, int]:
+    """Credits always count; a debit counts only where the balance covers it."""
+    after = purse.get("has", 0) + row["d"]
+    fine = row["d"] >= 0 or after >= 0
+    if fine:
+        purse["has"] = after
+    return fine, purse.get("has", 0)
 
 
 def spends(ledger: DataFrame) -> DataFrame:
-    """id, user_id, counted, balance: debits admitted in the order of ids. Sums are of ten-thousandths, so they are exact."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ok, after = spend_fold(rows["d"].to_numpy())
-        return pd.DataFrame({"id": rows["id"], "user_id": rows["user_id"], "counted": ok, "balance": [x / 10_000 for x in after]})
+    """id, user_id, counted, balance: debits admitted in the order of ids. Sums are of ten-thousandths, so they are exact.
 
+    Which debits are refused rests on those before, so a user's rows pass one task in order; what it holds is one number, whatever
+    the number of rows.
+    """
     exact = ledger.select("id", "user_id", (F.col("delta") * 10_000).cast("long").alias("d"))
-    return exact.groupBy("user_id").applyInPandas(run, "id long, user_id long, counted boolean, balance double")
+    rows = fold(exact, ["user_id"], ["id"], dict, _spend, "counted boolean, has long")
+    return rows.select("id", "user_id", "counted", (F.col("has") / 10_000).alias("balance"))
 
 
 def admitted_stream(hits: DataFrame, seconds: float, most: int, late: str | None = None) -> DataFrame:
@@ -167,9 +158,10 @@ def counted_per_window(events: DataFrame, at: str, watermark: str, width: str, *
 
 
 def delivered(frames: DataFrame, drains: str, most: int = QUEUE) -> DataFrame:
-    """Frames (key, at, id) with delivered: a queue takes the first ``most`` frames between two drains of it and drops the others.
+    """Frames (key, at, id) with delivered: a queue takes the first ``most`` frames between two drains of it and drops the others. For tables.
 
-    ``drains`` is the width of the window between drains. Numbers within a window come from a window function over (key, window).
+    ``drains`` is the width of the window between drains. Numbers within a window come from a window function over (key, window), which Spark
+    has on tables only; ``counted_per_window`` says on a stream how many a queue drops.
     """
     w = Window.partitionBy("key", F.window("at", drains).getField("start")).orderBy("at", "id")
     return frames.select("id", "key", (F.row_number().over(w) <= most).alias("delivered"))

@@ -115,9 +115,9 @@ def test_glossary():
 
 def test_folds():
     assert stateful.admit_fold(np.array([0.0, 1.0, 2.0, 61.0]), 60.0, 2)[0] == [True, True, False, True]
-    assert stateful.spend_fold(np.array([10, -4, -100, -6])) == ([True, True, False, True], [10, 6, 6, 0])
-    at = np.array([0, 1, 2, 3, 4, 5, 70, 71], dtype=float)
-    assert stateful.breaker_fold(at, np.array([1, 1, 1, 1, 1, 0, 1, 0], dtype=bool)) == ["closed"] * 5 + ["open", "half_open", "open"]
+    one = stateful.Breaker()
+    told = [one.call(float(t), bool(bad)) for t, bad in zip([0, 1, 2, 3, 4, 5, 70, 71], [1, 1, 1, 1, 1, 0, 1, 0])]
+    assert told == ["closed"] * 5 + ["open", "half_open", "open"]
 
 
 def test_block_feed_is_invariant(spark, tmp_path):
