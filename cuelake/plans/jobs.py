@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import flags
 from cuelake.operators import jobs as J
 from cuelake.plans.registry import query
 from cuelake.sources.model import AS_OF
+from cuelake.streaming import metrics, stateful
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _NOW_S = 1706659200
@@ -250,6 +252,56 @@ def _(v):
     return j.select(F.format_string("jobs_active %d\njobs_total %d\nsessions %d", "a", "t", "s").alias("body"))
 
 
+@query(
+    "metrics_lines",
+    """
+WITH f AS (SELECT row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS delivered FROM events),
+l AS (SELECT unnest([
+  'cuelake_active_jobs ' || (SELECT count(*) FROM jobs WHERE status IN ('queued', 'running')), 'cuelake_total_jobs ' || (SELECT count(*) FROM jobs), 'cuelake_active_sessions ' || (SELECT count(*) FROM sessions),
+  'cuelake_frames_total{result="published"} ' || (SELECT count(*) FROM f WHERE delivered), 'cuelake_frames_total{result="dropped"} ' || (SELECT count(*) FROM f WHERE NOT delivered)]) AS line)
+SELECT line FROM l""",
+)
+def _(v):
+    """What collectors read, without help and type: tables are counted by aggregates, frames by what is observed while they are delivered."""
+    frames = stateful.delivered(v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at")), "1 day", 2)
+    passing, seen = metrics.observed(frames, "frames", {"published": F.col("delivered"), "dropped": ~F.col("delivered")})
+    passing.write.format("noop").mode("overwrite").save()
+    n = v.jobs.agg(F.count_if(F.col("status").isin(*J.ACTIVE)).alias("a"), F.count("*").alias("t")).first()
+    told = [
+        *metrics.lines("gauge", "cuelake_active_jobs", "Jobs queued or running.", {"": n["a"]}),
+        *metrics.lines("counter", "cuelake_total_jobs", "Jobs so far.", {"": n["t"]}),
+        *metrics.lines("gauge", "cuelake_active_sessions", "Sessions.", {"": v.sessions.count()}),
+        *metrics.lines("counter", "cuelake_frames_total", "Frames by outcome.", {f'{{result="{k}"}}': seen.get[k] for k in ("published", "dropped")}),
+    ]
+    return v.spark.createDataFrame([(x,) for x in told if x[0] != "#"], "line string")
+
+
+_FILES = """
+SELECT id, CASE id % 9 WHEN 0 THEN '{"webhook_out":{"enabled":false,"min_plan":"studio","pct":0},"beta":{"enabled":true}}' WHEN 1 THEN 'no json' WHEN 2 THEN '[1,{"job_sharing":{}}]'
+  WHEN 3 THEN '{"job_sharing":5,"api_keys":{"enabled":false,"min_plan":"pro","pct":' || CAST(id % 101 AS STRING) || '}}' WHEN 4 THEN NULL
+  WHEN 5 THEN '{"batch_jobs":{"enabled":false,"min_plan":"studio","pct":' || CAST(id % 2 * 10 AS STRING) || '},"webhook_out":"on"}' WHEN 6 THEN '{}' WHEN 7 THEN '"text"'
+  ELSE '{"batch_jobs":{"enabled":false,"extra":1,"min_plan":"studio","pct":10},"webhook_out":{"pct":0,"enabled":false,"min_plan":"studio"}}' END AS text
+FROM users"""
+_DEFAULT = '{"enabled":true,"min_plan":"free","pct":100}'
+
+
+@query(
+    "flags_reconciled",
+    f"""
+WITH files AS ({_FILES.strip()}),
+j AS (SELECT id, CASE WHEN json_valid(text) AND json_type(CAST(text AS JSON)) = 'OBJECT' THEN CAST(text AS JSON) ELSE CAST('{{}}' AS JSON) END AS j FROM files),
+n AS (SELECT id, j, unnest(list_distinct(list_concat(json_keys(j), ['job_sharing', 'api_keys', 'webhook_out', 'batch_jobs', 'uzbek_language_engine']))) AS flag FROM j),
+v AS (SELECT id, flag, flag IN ('job_sharing', 'api_keys', 'webhook_out', 'batch_jobs', 'uzbek_language_engine') AS known, json_extract(j, '$.' || flag) AS value FROM n),
+o AS (SELECT id, flag, value, CASE WHEN value IS NULL THEN 'default' WHEN known AND json_type(value) <> 'OBJECT' THEN 'coerced'
+  WHEN len(json_keys(value)) = 3 AND NOT CAST(value->>'enabled' AS BOOLEAN) AND value->>'min_plan' = 'studio' AND (flag = 'webhook_out' AND value->>'pct' = '0' OR flag = 'batch_jobs' AND value->>'pct' = '10') THEN 'upgraded' ELSE 'kept' END AS origin FROM v)
+SELECT id, flag, CASE WHEN origin = 'kept' THEN CAST(value AS VARCHAR) ELSE '{_DEFAULT}' END AS value, origin FROM o""",
+)
+def _(v):
+    text = _FILES.split("SELECT id, ", 1)[1].rsplit("FROM users", 1)[0]
+    files = v.users.selectExpr("id", text)
+    return flags.reconciled(files, "id", "text")
+
+
 @query("users_deleted", "SELECT l.id FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = l.user_id AND u.plan = 'studio')")
 def _(v):
     gone = v.users.filter("plan = 'studio'")
