@@ -29,8 +29,9 @@ def vtt_time(seconds: Column) -> Column:
 
 
 def ass_time(seconds: Column) -> Column:
-    """H:MM:SS.cc, the seconds formatted by themselves (they can show 60.00)."""
-    return F.format_string("%d:%02d:%05.2f", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+    """H:MM:SS.cc, the seconds rounded by themselves, halves to even (they can show 60.00)."""
+    cs = F.rint(seconds % 60 * 100).cast("long")
+    return F.format_string("%d:%02d:%02d.%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(cs / 100), cs % 100)
 
 
 def parse_time(text: Column) -> Column:

@@ -58,12 +58,25 @@ _BOUNDS = _laws("SELECT doc * 100000 + idx AS id, [list_extract(regexp_extract_a
 
 @query("cut_boundaries", _BOUNDS + f"SELECT id // 100000 AS doc, count(*) AS measured, count(*) FILTER (WHERE {_HITS} > 0) AS hard FROM f GROUP BY 1")
 def _(v):
+    return _bounds(v.cues)
+
+
+def _bounds(cues):
     nxt = F.lead("text").over(Window.partitionBy("doc").orderBy("idx"))
-    rows = v.cues.withColumn("nxt", nxt).select("doc", C.words_of(F.col("text")).alias("a"), C.words_of(F.col("nxt")).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    rows = cues.withColumn("nxt", nxt).select("doc", C.words_of(F.col("text")).alias("a"), C.words_of(F.col("nxt")).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
     hard = F.size(C.faults(F.get("a", F.size("a") - 1), F.get("b", F.lit(0)))) > 0
     return rows.groupBy("doc").agg(F.count("*").alias("measured"), F.count_if(hard).alias("hard"))
 
 
+#: Cues that begin with a postposition, or end with a word that binds to the right, one in three.
+_PUT = "CASE idx % 3 WHEN 1 THEN 'uchun ' || text ELSE CASE WHEN doc % 2 = 0 THEN text || ' va' ELSE text END END"
+
+
+@query("cut_boundaries_planted", _BOUNDS.replace("FROM cues)", f"FROM (SELECT doc, idx, {_PUT} AS text FROM cues))") + f"SELECT id // 100000 AS doc, count(*) AS measured, count(*) FILTER (WHERE {_HITS} > 0) AS hard FROM f GROUP BY 1")
+def _(v):
+    return _bounds(v.cues.selectExpr("doc", "idx", f"{_PUT} AS text"))
+
+
 #: The driver's texts break no law, so the same queries run on texts with words of the laws put in.
 _PLANTED = _DOCS.replace("FROM documents", "FROM planted")
 

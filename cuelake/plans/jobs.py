@@ -165,6 +165,17 @@ def _(v):
     return rows.select(F.col("e.id").alias("event_id"), F.col("w.id").alias("webhook_id"))
 
 
+#: The driver's hooks belong to users without jobs; dealt to other users they get deliveries.
+@query(
+    "webhook_deliveries_planted",
+    "SELECT e.id AS event_id, w.id AS webhook_id FROM job_events e JOIN jobs j ON j.id = e.job_id JOIN webhooks w ON w.id * 7 % 1500 = j.user_id WHERE j.status = 'done' AND w.active = 1 AND list_contains(list_transform(string_split(w.events, ','), lambda x: trim(x)), 'done')",
+)
+def _(v):
+    hooks = J.subscribed(v.webhooks.withColumn("user_id", F.col("id") * 7 % 1500), "done").select(F.col("id").alias("webhook_id"), "user_id")
+    done = v.jobs.filter("status = 'done'").select(F.col("id").alias("job_id"), "user_id").join(hooks, "user_id")
+    return v.job_events.join(done, "job_id").select(F.col("id").alias("event_id"), "webhook_id")
+
+
 @query("api_keys_hashed", "SELECT id, sha256(raw_key) AS key_hash, substr(raw_key, 1, 14) AS key_prefix FROM api_keys")
 def _(v):
     return v.api_keys.select("id", F.sha2("raw_key", 256).alias("key_hash"), F.substring("raw_key", 1, 14).alias("key_prefix"))

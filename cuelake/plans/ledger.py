@@ -186,6 +186,15 @@ def _(v):
     return _double(L.low_balances(v.users, v.ledger), "balance")
 
 
+#: The driver's sums are larger; what is over whole minutes makes balances of both kinds.
+@query(
+    "balance_low_planted",
+    "SELECT user_id, CAST(sum(delta % 1) AS DOUBLE) AS balance FROM ledger JOIN users ON users.id = ledger.user_id GROUP BY user_id HAVING sum(delta % 1) > 0 AND sum(delta % 1) < 1",
+)
+def _(v):
+    return _double(L.low_balances(v.users, v.ledger.withColumn("delta", F.col("delta") % 1)), "balance")
+
+
 #: Daily minutes by plan.
 CAPS = {"free": 30.0, "pro": 240.0, "studio": 600.0}
 

@@ -111,10 +111,23 @@ def _(v):
 _MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
 
 
-@query("code_switches", f"SELECT doc_id, CAST({_MARKS} AS INTEGER) AS hints FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS b FROM documents WHERE NOT regexp_matches(text, '[Ѐ-ӿöğşçÖĞŞÇʻ’`´ʼ]'))")
+def _replaced(x: str, table: dict[str, str]) -> str:
+    for old, new in table.items():
+        x = f"replace({x}, '{old}', '{new.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_PLAIN = f"nfc_normalize(translate(text, '{S.APOSTROPHES}', {chr(39) * (2 + 2 * len(S.APOSTROPHES))}))"
+_OLD = {v: k for k, v in S.REFORMED.items()}
+#: A text in lower case with Latin letters of the old alphabet; letters with several forms have none in capitals there.
+_LOW_LATIN = _replaced(f"lower({_PLAIN})", S.CYRILLIC | _OLD)
+_MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
+_MARKS += " + " + " + ".join(f"(length(c) - length(replace(c, '{m}', ''))) // {len(m)}" for m in S.MARKERS_CYRILLIC)
+
+
+@query("code_switches", f"SELECT doc_id, CAST({_MARKS} AS INTEGER) AS hints FROM (SELECT doc_id, ' ' || {_LOW_LATIN} || ' ' AS b, ' ' || lower({_PLAIN}) || ' ' AS c FROM documents)")
 def _(v):
-    rows = v.documents.filter(~F.col("text").rlike("[Ѐ-ӿöğşçÖĞŞÇʻ’`´ʼ]"))
-    return rows.select("doc_id", S.code_switches(F.col("text"), S.transliterated(F.col("text"), "latin")).alias("hints"))
+    return v.documents.select("doc_id", S.code_switches(F.col("text"), S.transliterated(F.col("text"), "latin")).alias("hints"))
 
 
 @query("texts_converted")
@@ -122,7 +135,22 @@ def _(v):
     return v.documents.select("doc_id", S.converted(F.col("text"), "latin", True, TERMS).alias("text"))
 
 
-@query("texts_looked_up", "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE regexp_replace(lower(w), '^[.,!?;:«»()]+|[.,!?;:«»()]+$', '', 'g') WHEN 'uy' THEN replace(w, 'uy', 'дом') WHEN 'non' THEN replace(w, 'non', 'хлеб') ELSE w END), ' ') AS text FROM (SELECT doc_id, 'uy. ' || regexp_replace(coalesce(text, ''), '[^ ]*[Nn]on[^ ]*|[Uu]y|pul|[^ -~]', '', 'g') || ' (non)' AS text FROM documents)")
+#: Runs of letters with reformed letters as pairs: all capitals in a run of capitals, else the first.
+_UP = {k.upper(): v.upper() for k, v in _OLD.items()}
+_TITLE = {k.upper(): v[0].upper() + v[1:] for k, v in _OLD.items()}
+_RUNS = f"array_to_string(list_transform(regexp_extract_all({_PLAIN}, '\\pL+|[^\\pL]+'), lambda r: CASE WHEN upper(r) = r AND lower(r) <> r THEN {_replaced('r', _UP)} ELSE {_replaced('r', _OLD | _TITLE)} END), '')"
+_WORDS = "MAP {" + ", ".join(f"'{v.replace(chr(39), chr(39) * 2)}': '{k}'" for k, v in S.DICTIONARY.items()) + "}"
+_EDGE = "[.,!?;:«»()]+"
+
+
+@query(
+    "texts_looked_up",
+    f"""
+WITH w AS (SELECT doc_id, string_split({_RUNS}, ' ') AS ws FROM (SELECT doc_id, 'uy. ' || coalesce(text, '') || ' (Non)' AS text FROM documents)),
+c AS (SELECT doc_id, list_transform(ws, lambda w: {{'w': w, 'core': regexp_replace(w, '^{_EDGE}|{_EDGE}$', '', 'g')}}) AS cs FROM w),
+t AS (SELECT doc_id, list_transform(cs, lambda c: {{'w': c.w, 'core': c.core, 'into': {_WORDS}[lower(c.core)]}}) AS ts FROM c)
+SELECT doc_id, array_to_string(list_transform(ts, lambda t: CASE WHEN t.into IS NULL THEN t.w WHEN regexp_matches(t.core, '^\\p{{Lu}}') THEN replace(t.w, t.core, upper(t.into[1]) || t.into[2:]) ELSE replace(t.w, t.core, t.into) END), ' ') AS text FROM t""",
+)
 def _(v):
-    text = F.concat(F.lit("uy. "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ ]*[Nn]on[^ ]*|[Uu]y|pul|[^ -~]", ""), F.lit(" (non)"))
+    text = F.concat(F.lit("uy. "), F.coalesce("text", F.lit("")), F.lit(" (Non)"))
     return v.documents.select("doc_id", S.looked_up(text, "uz", "ru").alias("text"))

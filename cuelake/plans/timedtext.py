@@ -39,7 +39,14 @@ def _(v):
     return rows.select("doc", "pos", "start", "end", F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("chars"))
 
 
-@query("ass_documents", None)
+_ASS = "printf('%d:%02d:%05.2f', CAST(floor({0} / 3600) AS BIGINT), CAST(floor({0} % 3600 / 60) AS BIGINT), {0} % 60)"
+_HEAD = "'" + sinks.ASS_HEAD.format(title="cues").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    "ass_documents",
+    f"SELECT doc, {_HEAD} || 'Format: Layer, Start, End, Text' || chr(10) || string_agg('Dialogue: 0,' || {_ASS.format('start_s')} || ',' || {_ASS.format('end_s')} || ',' || replace(text, chr(10), '\\N'), chr(10) ORDER BY idx) || chr(10) AS body FROM cues GROUP BY doc",
+)
 def _(v):
     return sinks.to_ass(v.cues, "doc", "idx", "start_s", "end_s", "text", "cues")
 

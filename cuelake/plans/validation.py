@@ -53,14 +53,14 @@ def _sql_columns(text: str) -> list[str]:
 @query(
     "requests_checked",
     """
-WITH c AS (SELECT conv_id, count(*) AS n, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '[\\pL\\pN]')))) AS words FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id)
+WITH c AS (SELECT conv_id, count(*) AS n, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '[\\pL\\pN]')))) AS words FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN n = 0 THEN 'no_cues' WHEN n > 2000 THEN 'too_many_cues' WHEN NOT coalesce(shift BETWEEN 0.05 AND 2.0, false) THEN 'bad_shift' END AS align_code,
   CASE WHEN n = 0 THEN 'no_cues' WHEN n > 2000 THEN 'too_many_cues' WHEN words > 8000 THEN 'too_many_words' WHEN NOT coalesce(rate BETWEEN 6000 AND 192000, false) THEN 'bad_rate' WHEN coalesce(samples < 800, false) THEN 'too_short' END AS words_code
 FROM (SELECT *, CASE conv_id % 5 WHEN 0 THEN 3.0 WHEN 1 THEN NULL ELSE 0.6 END AS shift, CASE conv_id % 7 WHEN 0 THEN 4000 WHEN 1 THEN NULL ELSE 8000 END AS rate, CASE conv_id % 3 WHEN 0 THEN 500 WHEN 1 THEN NULL ELSE 9000 END AS samples FROM c)""",
 )
 def _(v):
     words = F.size(F.filter(F.split("text", r"\s+"), lambda t: t.rlike(r"[\p{L}\p{N}]")))
-    rows = v.conversations.filter("turn % 5 <> 4").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(words).alias("words"))
+    rows = v.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(words).alias("words"))
     k = F.col("conv_id")
     shift = F.when(k % 5 == 0, 3.0).when(k % 5 == 1, F.lit(None).cast("double")).otherwise(0.6)
     rate = F.when(k % 7 == 0, 4000).when(k % 7 == 1, F.lit(None).cast("int")).otherwise(8000)
@@ -68,10 +68,12 @@ def _(v):
     return rows.select("conv_id", C.align_code(F.col("n"), shift).alias("align_code"), C.words_code(F.col("n"), F.col("words"), rate, samples).alias("words_code"))
 
 
-@query("request_shapes", "SELECT doc_id, CASE WHEN (doc_id % 3 = 0) = (doc_id % 2 = 0) THEN 'one_of_two' END AS code FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')")
+@query(
+    "request_shapes",
+    "SELECT doc_id, CASE WHEN (said AND doc_id % 3 = 0) = (said AND doc_id % 2 = 0) THEN 'one_of_two' END AS code FROM (SELECT doc_id, regexp_matches(coalesce(text, ''), '\\S') AS said FROM documents)",
+)
 def _(v):
-    rows = v.documents.filter(r"text IS NOT NULL AND text RLIKE '\\S'")
-    return rows.select("doc_id", C.one_shape(F.when(F.col("doc_id") % 3 == 0, F.col("text")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(" ")).alias("code"))
+    return v.documents.select("doc_id", C.one_shape(F.when(F.col("doc_id") % 3 == 0, F.col("text")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(" ")).alias("code"))
 
 
 @query("engine_open", "SELECT event_id, coalesce(CASE event_type WHEN 'error' THEN false WHEN 'click' THEN true END, true) AS open FROM events")
@@ -102,11 +104,11 @@ def _(v):
 
 @query(
     "media_of_pages",
-    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' END AS kind, CASE page_id % 5 WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'video/quicktime' END AS mime, CASE WHEN page_id % 5 < 2 THEN strlen(html) END AS bytes FROM pages WHERE html <> ''",
+    "SELECT page_id, CASE WHEN size > 0 THEN CASE page_id % 5 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' END END AS kind, CASE WHEN size > 0 THEN CASE page_id % 5 WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'video/quicktime' END END AS mime, CASE WHEN page_id % 5 < 2 AND size > 0 THEN size END AS bytes FROM (SELECT page_id, coalesce(strlen(html), 0) AS size FROM pages)",
 )
 def _(v):
     name = F.concat(F.lit("/data.d/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, ".WAV").when(F.col("page_id") % 5 == 1, ".mov").when(F.col("page_id") % 5 == 2, ".exe").otherwise(""))
-    m = v.pages.filter("html <> ''").select("page_id", C.media(name, F.octet_length("html").cast("long")).alias("m"))
+    m = v.pages.select("page_id", C.media(name, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("m"))
     return m.select("page_id", "m.kind", "m.mime", "m.bytes")
 
 
