@@ -35,6 +35,7 @@ TARGETS = {"latin": "latin", "lat": "latin", "cyrillic": "cyrillic", "cyr": "cyr
 
 _RUN = re.compile(r"[^\W\d_]+")
 _NEW_LETTERS = "öğşçÖĞŞÇ"
+_TWO = "".join(v.upper() for k, v in REFORMED.items() if k.isalpha())
 _ANY_NEW = re.compile(f"[{_NEW_LETTERS}]")
 _ANY_CYRILLIC_LETTER = re.compile("[" + "".join(sorted({*CYRILLIC, *(k.upper() for k in CYRILLIC)})) + "]")
 _TITLE = lambda s: s[:1].upper() + s[1:]
@@ -140,15 +141,37 @@ def _pairs_reformed(text: Column) -> Column:
     return text
 
 
+def _pairs_old(text: Column) -> Column:
+    """The reformed letters as pairs; not for capital letters that become two, as those follow the case of their word."""
+    for pair, letter in REFORMED.items():
+        text = F.replace(text, F.lit(letter), F.lit(pair))
+        if not pair[1].isalpha():
+            text = F.replace(text, F.lit(letter.upper()), F.lit(_TITLE(pair)))
+    return text
+
+
+#: Pairs in an order in which replacing one after another gives what reading from left to right gives: ts before what begins with s, yo before o'.
+_IN_ORDER = ("ts", "yo", "shch", "sh", "ch", "g'", "o'", "ya", "yu")
+_SINGLE = {k: v for k, v in LATIN.items() if len(k) == 1}
+
+
+def _cyrillic(text: Column) -> Column:
+    """Latin letters of the old alphabet as Cyrillic ones, capital where a pair begins with a capital."""
+    for pair in _IN_ORDER:
+        rest = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in pair[1:])
+        for first, letter in ((pair[0], LATIN[pair]), (pair[0].upper(), LATIN[pair].upper())):
+            text = F.regexp_replace(text, first + rest, letter)
+    low, to = "".join(_SINGLE), "".join(_SINGLE.values())
+    return F.translate(text, low + low.upper(), to + to.upper())
+
+
 def transliterated(text: Column, to: str = "latin") -> Column:
-    """Null stays null. Texts without Cyrillic and reformed letters, already composed, stay in generated code for the Latin targets."""
+    """Null stays null. Texts without Cyrillic letters and without capitals that become two letters, already composed, stay in generated code."""
     target = TARGETS.get(to.strip().lower(), "latin")
     slow = F.pandas_udf(_batched(lambda t: transliterate(t, to)), "string")
-    if target == "cyrillic":
-        return slow(text)
-    plain = _one_apostrophe(text)
-    plain = _pairs_reformed(plain) if target == "new_latin" else plain
-    easy = text.rlike(_COMPOSED) & ~text.rlike(f"[Ѐ-ӿ{_NEW_LETTERS}]")
+    plain = _pairs_old(_one_apostrophe(text))
+    plain = _pairs_reformed(plain) if target == "new_latin" else _cyrillic(plain) if target == "cyrillic" else plain
+    easy = text.rlike(_COMPOSED) & ~text.rlike(f"[Ѐ-ӿ{_TWO}]")
     # the function gets null for easy texts, so it works on the others alone
     return F.when(easy, plain).otherwise(slow(F.when(~easy, text)))
 

@@ -41,18 +41,43 @@ def _(v):
     return v.documents.select("doc_id", S.official(F.col("text")).alias("text"))
 
 
-@query("texts_to_cyrillic")
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+def _replaced(x: str, table: dict[str, str]) -> str:
+    for old, new in table.items():
+        x = f"replace({x}, {_Q(old)}, {_Q(new)})"
+    return x
+
+
+_PLAIN = f"nfc_normalize(translate(text, '{S.APOSTROPHES}', {chr(39) * (2 + 2 * len(S.APOSTROPHES))}))"
+_OLD = {v: k for k, v in S.REFORMED.items()}
+#: Runs of letters with reformed letters as pairs: all capitals in a run of capitals, else the first.
+_UP = {k.upper(): v.upper() for k, v in _OLD.items()}
+_TITLE = {k.upper(): v[0].upper() + v[1:] for k, v in _OLD.items()}
+_RUNS = f"array_to_string(list_transform(regexp_extract_all({_PLAIN}, '\\pL+|[^\\pL]+'), lambda r: CASE WHEN upper(r) = r AND lower(r) <> r THEN {_replaced('r', _UP)} ELSE {_replaced('r', _OLD | _TITLE)} END), '')"
+_REFORM = {a + b: v.upper() if a.isupper() else v for k, v in S.REFORMED.items() for a in (k[0], k[0].upper()) for b in sorted({k[1], k[1].upper()})}
+#: Letters and pairs from left to right, the longest first; all become one letter, a capital if they begin with one.
+_TOKENS = "(?is)" + "|".join(sorted(S.LATIN, key=len, reverse=True)) + "|."
+_LETTERS = "MAP {" + ", ".join(f"{_Q(k)}: {_Q(c)}" for k, c in S.LATIN.items()) + "}"
+_TO_CYRILLIC = f"""CASE WHEN len(regexp_extract_all(text, '[Ѐ-ӿ]')) > len(regexp_extract_all(text, '[a-zA-ZöğşçÖĞŞÇ]')) THEN nfc_normalize(text)
+  ELSE array_to_string(list_transform(regexp_extract_all({_RUNS}, {_Q(_TOKENS)}), lambda t: CASE WHEN {_LETTERS}[lower(t)] IS NULL THEN t WHEN upper(t[1]) = t[1] THEN upper({_LETTERS}[lower(t)]) ELSE {_LETTERS}[lower(t)] END), '') END"""
+_LATIN_UP, _LATIN_TITLE = {k.upper(): c.upper() for k, c in S.CYRILLIC.items()}, {k.upper(): c[:1].upper() + c[1:] for k, c in S.CYRILLIC.items()}
+_BACK = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all(text, '\\pL+|[^\\pL]+'), lambda r: CASE WHEN upper(r) = r AND lower(r) <> r THEN {_replaced('r', S.CYRILLIC | _LATIN_UP)} ELSE {_replaced('r', S.CYRILLIC | _LATIN_TITLE)} END), ''))"
+
+
+@query("texts_to_cyrillic", f"SELECT doc_id, {_TO_CYRILLIC} AS text FROM documents")
 def _(v):
     return v.documents.select("doc_id", S.transliterated(F.col("text"), "cyrillic").alias("text"))
 
 
-@query("texts_round_trip")
+@query("texts_round_trip", f"SELECT doc_id, {_BACK} AS text FROM (SELECT doc_id, {_TO_CYRILLIC} AS text FROM documents)")
 def _(v):
     there = v.documents.select("doc_id", S.transliterated(F.col("text"), "cyrillic").alias("c"))
     return there.select("doc_id", S.transliterated(F.col("c"), "latin").alias("text"))
 
 
-@query("texts_to_new_latin")
+@query("texts_to_new_latin", f"SELECT doc_id, {_replaced(_RUNS, _REFORM)} AS text FROM documents")
 def _(v):
     return v.documents.select("doc_id", S.transliterated(F.col("text"), "new_latin").alias("text"))
 
@@ -111,14 +136,6 @@ def _(v):
 _MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
 
 
-def _replaced(x: str, table: dict[str, str]) -> str:
-    for old, new in table.items():
-        x = f"replace({x}, '{old}', '{new.replace(chr(39), chr(39) * 2)}')"
-    return x
-
-
-_PLAIN = f"nfc_normalize(translate(text, '{S.APOSTROPHES}', {chr(39) * (2 + 2 * len(S.APOSTROPHES))}))"
-_OLD = {v: k for k, v in S.REFORMED.items()}
 #: A text in lower case with Latin letters of the old alphabet; letters with several forms have none in capitals there.
 _LOW_LATIN = _replaced(f"lower({_PLAIN})", S.CYRILLIC | _OLD)
 _MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
@@ -135,10 +152,6 @@ def _(v):
     return v.documents.select("doc_id", S.converted(F.col("text"), "latin", True, TERMS).alias("text"))
 
 
-#: Runs of letters with reformed letters as pairs: all capitals in a run of capitals, else the first.
-_UP = {k.upper(): v.upper() for k, v in _OLD.items()}
-_TITLE = {k.upper(): v[0].upper() + v[1:] for k, v in _OLD.items()}
-_RUNS = f"array_to_string(list_transform(regexp_extract_all({_PLAIN}, '\\pL+|[^\\pL]+'), lambda r: CASE WHEN upper(r) = r AND lower(r) <> r THEN {_replaced('r', _UP)} ELSE {_replaced('r', _OLD | _TITLE)} END), '')"
 _WORDS = "MAP {" + ", ".join(f"'{v.replace(chr(39), chr(39) * 2)}': '{k}'" for k, v in S.DICTIONARY.items()) + "}"
 _EDGE = "[.,!?;:«»()]+"
 

@@ -195,3 +195,17 @@ def test_wav(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"OggS" + bytes(40))
     rows = {r.path[-5:]: r for r in read_levels(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert rows["a.wav"].levels == [0.5] * 10 and rows["a.wav"].rate == 8000 and rows["b.wav"].code == "not_wav"
+
+
+@pytest.mark.parametrize("to", ["latin", "new_latin", "cyrillic"])
+def test_conversion_in_columns_is_that_of_whole_texts(spark, to):
+    import random
+
+    from cuelake.functions import script
+
+    rng = random.Random(11)
+    parts = ["o'", "O'", "G'", "g'", "sh", "Sh", "SH", "sH", "ch", "CH", "shch", "SHch", "ts", "Ts", "yo", "Yo", "YO", "yo'", "tshch", "ya", "s", "h", "c", "t", "y", "o", "w", "W", "ö", "Ö", "ş", "Ş", "Ç", "ğ", "é", "ß", "1", " ", ".", "’", "ʻ", "Ш", "щ", "Ё", "ъ", "é", "中"]
+    texts = ["".join(rng.choice(parts if k % 3 else parts[:34]) for _ in range(rng.randint(0, 14))) for k in range(3000)] + [None, "", "TSHch", "shts"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", script.transliterated(F.col("t"), to).alias("u")).collect()
+    for r in got:
+        assert r.u == (None if texts[r.k] is None else script.transliterate(texts[r.k], to)), texts[r.k]
