@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuelake.sources.model import Views, check_sql
 
-MODULES = ("ledger", "jobs", "timedtext", "signal", "script", "cutlaws", "speech", "dubbing", "streams", "checks", "changes", "validation", "sqltexts")
+MODULES = ("ledger", "jobs", "timedtext", "signal", "script", "cutlaws", "speech", "dubbing", "streams", "checks", "changes", "validation", "sqltexts", "captions")
 
 _PLANS: dict[str, Callable[[Views], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
