@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import exports as X
 from cuelake.operators import flags
 from cuelake.operators import jobs as J
 from cuelake.plans.registry import query
@@ -253,6 +254,37 @@ def _(v):
     )
 
 
+_AT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(
+    "account_export_json",
+    f"""
+WITH j AS (SELECT user_id, list({{'id': id, 'type': type, 'status': status, 'minutes': round(CAST(minutes AS DOUBLE), 2), 'created_at': {_AT.format('created_at')}}} ORDER BY created_at DESC, id DESC) AS jobs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM jobs) WHERE r <= 9999 GROUP BY user_id),
+g AS (SELECT user_id, list({{'src': src_term, 'tgt': tgt_term}} ORDER BY id DESC) AS glossary FROM glossary GROUP BY user_id),
+p AS (SELECT user_id, list({{'id': id, 'amount_minor': amount_minor, 'currency': currency, 'status': status, 'created_at': {_AT.format('created_at')}}} ORDER BY created_at DESC, id DESC) AS payments FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM payments) WHERE r <= 3 GROUP BY user_id),
+n AS (SELECT user_id, list({{'kind': kind, 'read_at': {_AT.format('read_at')}, 'created_at': {_AT.format('created_at')}}} ORDER BY id DESC) AS notifications FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM notifications) WHERE r <= 9999 GROUP BY user_id),
+s AS (SELECT user_id, list({{'id': id, 'job_id': job_id, 'expires_at': {_AT.format('expires_at')}}} ORDER BY created_at DESC, id DESC) AS shares FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM shares) WHERE r <= 4 GROUP BY user_id),
+b AS (SELECT user_id, round(CAST(sum(delta) AS DOUBLE), 4) AS balance FROM ledger GROUP BY user_id)
+SELECT u.id AS user_id, CAST(to_json({{'exported_at': '{AS_OF}', 'format_version': 1, 'user': {{'name': u.name, 'contact': u.contact, 'plan': u.plan, 'created_at': strftime(u.created_on, '%Y-%m-%d')}}, 'balance_minutes': coalesce(b.balance, 0.0::DOUBLE),
+  'jobs': coalesce(j.jobs, []), 'glossary': coalesce(g.glossary, []), 'payments': coalesce(p.payments, []), 'notifications': coalesce(n.notifications, []), 'shares': coalesce(s.shares, [])}}) AS VARCHAR) AS body
+FROM users u LEFT JOIN j ON j.user_id = u.id LEFT JOIN g ON g.user_id = u.id LEFT JOIN p ON p.user_id = u.id LEFT JOIN n ON n.user_id = u.id LEFT JOIN s ON s.user_id = u.id LEFT JOIN b ON b.user_id = u.id""",
+)
+def _(v):
+    """With lower caps for payments and shares than an account's own, so that users of the check reach them."""
+    c, at = F.col, lambda name: X.moment(F.col(name))
+    newest = ["created_at", "id"]
+    lists = [
+        X.listed(v.jobs, "user_id", "jobs", newest, {"id": c("id"), "type": c("type"), "status": c("status"), "minutes": F.round(c("minutes").cast("double"), 2), "created_at": at("created_at")}, X.MOST["jobs"]),
+        X.listed(v.glossary, "user_id", "glossary", ["id"], {"src": c("src_term"), "tgt": c("tgt_term")}),
+        X.listed(v.payments, "user_id", "payments", newest, {"id": c("id"), "amount_minor": c("amount_minor"), "currency": c("currency"), "status": c("status"), "created_at": at("created_at")}, 3),
+        X.listed(v.notifications, "user_id", "notifications", ["id"], {"kind": c("kind"), "read_at": at("read_at"), "created_at": at("created_at")}, X.MOST["notifications"]),
+        X.listed(v.shares, "user_id", "shares", newest, {"id": c("id"), "job_id": c("job_id"), "expires_at": at("expires_at")}, 4),
+    ]
+    users = v.users.withColumn("created_at", c("created_on").cast("string"))
+    return X.exported(users, v.ledger.groupBy("user_id").agg(F.sum("delta").alias("balance")), lists, AS_OF)
+
+
 @query(
     "metrics_text",
     """
