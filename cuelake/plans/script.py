@@ -100,7 +100,15 @@ def _(v):
     return v.documents.select("doc_id", F.array_join(G.hits(F.col("text"), terms), ",").alias("hits"))
 
 
-@query("glossary_applied")
+def _with_terms(x: str) -> str:
+    """Terms replaced in a text, whole words in any case: the phrase by what stands around it, then words among runs of letters and digits."""
+    word, phrase = "[\\pL\\pN_]", next(k for k in TERMS if " " in k)
+    x = f"regexp_replace({x}, '(?i)(^|[^\\pL\\pN_]){phrase}([^\\pL\\pN_]|$)', '\\1{TERMS[phrase]}\\2', 'g')"
+    known = "MAP {" + ", ".join(f"'{k}': '{t}'" for k, t in TERMS.items() if k != phrase) + "}"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{word}+|[^\\pL\\pN_]+'), lambda t: coalesce({known}[lower(t)], t)), '')"
+
+
+@query("glossary_applied", f"SELECT doc_id, {_with_terms('text')} AS text FROM documents")
 def _(v):
     return v.documents.select("doc_id", G.applied(F.col("text"), TERMS).alias("text"))
 
@@ -128,14 +136,6 @@ def _(v):
     return v.documents.select("doc_id", S.is_new_latin(F.col("text")).alias("reformed"))
 
 
-@query("text_analysis")
-def _(v):
-    return S.analyzed(v.documents, "doc_id", "text", list(TERMS))
-
-
-_MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
-
-
 #: A text in lower case with Latin letters of the old alphabet; letters with several forms have none in capitals there.
 _LOW_LATIN = _replaced(f"lower({_PLAIN})", S.CYRILLIC | _OLD)
 _MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
@@ -147,7 +147,29 @@ def _(v):
     return v.documents.select("doc_id", S.code_switches(F.col("text"), S.transliterated(F.col("text"), "latin")).alias("hints"))
 
 
-@query("texts_converted")
+def _official(x: str) -> str:
+    return _replaced(x, {f"{c}'": f"{c}{S.OFFICIAL}" for c in "oOgG"})
+
+
+@query(
+    "text_analysis",
+    f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, CAST({_C} AS BIGINT) AS c, CAST({_L} AS BIGINT) AS l, {_RUNS} AS latin, {_TO_CYRILLIC} AS cyrillic, ' ' || {_LOW_LATIN} || ' ' AS b, ' ' || lower({_PLAIN}) || ' ' AS low FROM t)
+SELECT doc_id, CASE WHEN c + l = 0 THEN 'other' WHEN greatest(c, l) / (c + l) < 0.8 AND least(c, l) / (c + l) >= 0.2 THEN 'mixed' WHEN c > l THEN 'cyrillic' ELSE 'latin' END AS script,
+  CASE WHEN c + l = 0 THEN 0 ELSE round(greatest(c, l) / (c + l), 3) END AS confidence, c AS cyrillic_count, l AS latin_count,
+  CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '\\p{{L}}'))) AS INTEGER) AS words, length(text) AS chars, latin, cyrillic, {_official('latin')} AS official,
+  {_replaced('latin', _REFORM)} AS new_latin, regexp_matches(text, '[öğşçÖĞŞÇ]') AS has_reform_letters, c > 0 AS has_cyrillic_letters, regexp_matches(latin, '[a-zA-Z]') AS has_legacy_latin_letters,
+  CAST({_MARKS.replace('(c', '(low').replace('length(replace(c', 'length(replace(low')} AS INTEGER) AS code_switch_hints, list_filter(['the', 'with', 'All rights reserved', 'license', 'and'], lambda t: contains(lower(text), lower(t))) AS glossary_hits, c > l AS is_cyrillic FROM n""",
+)
+def _(v):
+    return S.analyzed(v.documents, "doc_id", "text", list(TERMS))
+
+
+_MARKS = " + ".join(f"(length(b) - length(replace(b, '{m}', ''))) // {len(m)}" for m in S.MARKERS_LATIN)
+
+
+@query("texts_converted", f"SELECT doc_id, {_official(_with_terms('latin'))} AS text FROM (SELECT doc_id, {_RUNS} AS latin FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def _(v):
     return v.documents.select("doc_id", S.converted(F.col("text"), "latin", True, TERMS).alias("text"))
 

@@ -193,7 +193,18 @@ def _(v):
     return T.heard(_blocks(v), tapes)
 
 
-@query("tape_voices")
+@query(
+    "tape_voices",
+    f"""
+WITH b AS (SELECT doc_id AS tape, {_BYTES.format('text')} AS b FROM documents WHERE text IS NOT NULL),
+w AS (SELECT tape, b, unnest([0, 1, 2, 3]) AS idx FROM b),
+x AS (SELECT tape, idx, list_transform(range(70), lambda i: b[300 * idx + 4 * i + 1] + 256 * b[300 * idx + 4 * i + 2]) AS u FROM w WHERE len(b) // 2 >= 150 * idx + 140),
+y AS (SELECT tape, idx, list_transform(u, lambda v: CASE WHEN v > 32767 THEN v - 65536 ELSE v END) AS x FROM x),
+e AS (SELECT tape, idx, x, list_sum(list_transform(x, lambda v: CAST(v AS BIGINT) * v)) / 70 AS energy, list_transform(range(1, 70), lambda i: x[i + 1] - x[i]) AS steps,
+  len(list_filter(range(1, 70), lambda i: (x[i + 1] < 0) <> (x[i] < 0))) AS turns FROM y)
+SELECT w.tape, CAST(w.idx AS BIGINT) AS idx, CASE WHEN e.energy > 0 THEN [round_even(sqrt(energy) / 32768, 4), round_even(turns / 69, 4), round_even(sqrt(list_sum(list_transform(steps, lambda v: CAST(v AS BIGINT) * v)) / 69 / energy), 4)] END AS voice
+FROM w LEFT JOIN e ON e.tape = w.tape AND e.idx = w.idx""",
+)
 def _(v):
     cues = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("tape"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
     windows = cues.select("tape", "idx", F.lit(0).alias("k"), (F.col("idx") * 150).cast("long").alias("a"), (F.col("idx") * 150 + 140).cast("long").alias("b"))
