@@ -189,8 +189,10 @@ def words_levels(found: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
 
 
 def aligned_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
-    return aligned_levels(levels(blocks, frame), cues, frame)
+    """As ``aligned_levels``. The levels, a small part of the samples, are persisted, as they are asked for several times; Spark's cache lets them go."""
+    return aligned_levels(levels(blocks, frame).persist(), cues, frame)
 
 
 def words_blocks(blocks: DataFrame, cues: DataFrame, frame: int) -> DataFrame:
-    return words_levels(levels(blocks, frame), cues, frame)
+    """As ``words_levels``, with persisted levels."""
+    return words_levels(levels(blocks, frame).persist(), cues, frame)
