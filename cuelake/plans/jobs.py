@@ -260,7 +260,7 @@ _AT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 @query(
     "account_export_json",
     f"""
-WITH j AS (SELECT user_id, list({{'id': id, 'type': type, 'status': status, 'minutes': round(CAST(minutes AS DOUBLE), 2), 'created_at': {_AT.format('created_at')}}} ORDER BY created_at DESC, id DESC) AS jobs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM jobs) WHERE r <= 9999 GROUP BY user_id),
+WITH j AS (SELECT user_id, list({{'id': id, 'type': type, 'status': status, 'minutes': round_even(CAST(minutes AS DOUBLE) * 100, 0) / 100, 'created_at': {_AT.format('created_at')}}} ORDER BY created_at DESC, id DESC) AS jobs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM jobs) WHERE r <= 9999 GROUP BY user_id),
 g AS (SELECT user_id, list({{'src': src_term, 'tgt': tgt_term}} ORDER BY id DESC) AS glossary FROM glossary GROUP BY user_id),
 p AS (SELECT user_id, list({{'id': id, 'amount_minor': amount_minor, 'currency': currency, 'status': status, 'created_at': {_AT.format('created_at')}}} ORDER BY created_at DESC, id DESC) AS payments FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM payments) WHERE r <= 3 GROUP BY user_id),
 n AS (SELECT user_id, list({{'kind': kind, 'read_at': {_AT.format('read_at')}, 'created_at': {_AT.format('created_at')}}} ORDER BY id DESC) AS notifications FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM notifications) WHERE r <= 9999 GROUP BY user_id),
@@ -275,7 +275,7 @@ def _(v):
     c, at = F.col, lambda name: X.moment(F.col(name))
     newest = ["created_at", "id"]
     lists = [
-        X.listed(v.jobs, "user_id", "jobs", newest, {"id": c("id"), "type": c("type"), "status": c("status"), "minutes": F.round(c("minutes").cast("double"), 2), "created_at": at("created_at")}, X.MOST["jobs"]),
+        X.listed(v.jobs, "user_id", "jobs", newest, {"id": c("id"), "type": c("type"), "status": c("status"), "minutes": F.rint(c("minutes").cast("double") * 100) / 100, "created_at": at("created_at")}, X.MOST["jobs"]),
         X.listed(v.glossary, "user_id", "glossary", ["id"], {"src": c("src_term"), "tgt": c("tgt_term")}),
         X.listed(v.payments, "user_id", "payments", newest, {"id": c("id"), "amount_minor": c("amount_minor"), "currency": c("currency"), "status": c("status"), "created_at": at("created_at")}, 3),
         X.listed(v.notifications, "user_id", "notifications", ["id"], {"kind": c("kind"), "read_at": at("read_at"), "created_at": at("created_at")}, X.MOST["notifications"]),
