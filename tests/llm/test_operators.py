@@ -409,5 +409,5 @@ def test_substrings(docs, rows, empty):
 
 
 def test_registry():
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in registry.queries()}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in registry.queries()}
     assert set(registry.oracle_sql()) <= set(registry.queries())
