@@ -170,12 +170,17 @@ def negatives_in(rows: pa.Table, asked: pa.Table, kind: str, books: list[np.ndar
             for j, one in enumerate(some):
                 other = np.flatnonzero((block.labels != names[one]) & (block.ids != anchors[one]))
                 least, most = lows[other, j], highs[other, j]
-                for w in windows[one]:
-                    bottom, top = -(-low * w["score"] // 100), high * w["score"] // 100
+                bounds = [(-(-low * w["score"] // 100), high * w["score"] // 100) for w in windows[one]]
+                wanted = np.zeros(len(other), dtype=bool)
+                for bottom, top in bounds:
                     sure = least[(least >= bottom) & (most <= top)]
                     reach = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else bottom
-                    places = other[(least <= top) & (most >= max(reach, bottom))]
-                    score = block.exact(places, vectors[one])
+                    wanted |= (least <= top) & (most >= max(reach, bottom))
+                # windows of one anchor overlap, so what any of them wants is reranked once
+                near = other[wanted]
+                exact = block.exact(near, vectors[one])
+                for w, (bottom, top) in zip(windows[one], bounds, strict=True):
+                    places, score = near, exact
                     inside = (score >= bottom) & (score <= top)
                     places, score = places[inside], score[inside]
                     chosen = block.best(places, score, k)
