@@ -28,9 +28,21 @@ def vtt_time(seconds: Column) -> Column:
     return _clock(F.greatest(F.lit(0), to_ms(seconds)), ".")
 
 
+def _hundredths(x: Column) -> Column:
+    """The whole number nearest to 100 x, halves to even, of what a double from 0 to 60 holds exactly.
+
+    The product is rounded itself, which makes halves of what lies beside them; there the error of the product, found by splitting x into
+    halves of its digits, decides.
+    """
+    p, c = x * 100.0, x * 134217729.0
+    high = c - (c - x)
+    error = (high * 100.0 - p) + (x - high) * 100.0
+    return F.when(p - F.floor(p) != 0.5, F.rint(p)).when(error > 0, F.ceil(p)).when(error < 0, F.floor(p)).otherwise(F.rint(p)).cast("long")
+
+
 def ass_time(seconds: Column) -> Column:
-    """H:MM:SS.cc, the seconds rounded by themselves, halves to even (they can show 60.00)."""
-    cs = F.rint(seconds % 60 * 100).cast("long")
+    """H:MM:SS.cc, the seconds rounded by themselves as printf rounds them, halves to even (they can show 60.00)."""
+    cs = _hundredths(seconds % 60)
     return F.format_string("%d:%02d:%02d.%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(cs / 100), cs % 100)
 
 

@@ -209,3 +209,10 @@ def test_conversion_in_columns_is_that_of_whole_texts(spark, to):
     got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", script.transliterated(F.col("t"), to).alias("u")).collect()
     for r in got:
         assert r.u == (None if texts[r.k] is None else script.transliterate(texts[r.k], to)), texts[r.k]
+
+
+def test_styled_times_round_what_the_double_holds(spark):
+    """17.415 lies under its half as a double, 0.005 above; their product with 100 is a half either way."""
+    ms = [17415, 19915, 43915, 5, 15, 125, 375, 59995, 59999, 3_599_995, 77_415, *range(1005, 60000, 250)]
+    rows = spark.createDataFrame([(x / 1000.0,) for x in ms], "s double").select("s", ass_time(F.col("s")).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{int(r.s // 3600)}:{int(r.s % 3600 // 60):02d}:{r.s % 60:05.2f}" for r in rows]
