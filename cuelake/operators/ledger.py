@@ -105,8 +105,9 @@ def low_balances(users: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def quota_left(users: DataFrame, ledger: DataFrame, day: Column, caps: dict[str, float]) -> DataFrame:
-    """user_id, plan, spent today and what is left of the plan's cap, rounded to a tenth."""
+    """user_id, plan, spent today and what is left of the plan's cap, rounded to a tenth, halves up. The difference stays decimal, so a half is a half."""
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("plan")]
     today = spent_on(ledger, day)
-    out = users.join(today, users.id == today.user_id, "left").select(users.id.alias("user_id"), "plan", F.coalesce("spent", F.lit(0)).cast("double").alias("spent"))
-    return out.withColumn("left", F.round(F.greatest(F.lit(0.0), cap - F.col("spent")), 1))
+    out = users.join(today, users.id == today.user_id, "left").select(users.id.alias("user_id"), "plan", F.coalesce("spent", F.lit(0)).cast("decimal(28,4)").alias("spent"))
+    left = F.round(F.greatest(F.lit(0).cast("decimal(28,4)"), cap.cast("decimal(8,4)") - F.col("spent")), 1).cast("double")
+    return out.select("user_id", "plan", F.col("spent").cast("double").alias("spent"), left.alias("left"))

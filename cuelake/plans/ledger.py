@@ -204,7 +204,7 @@ CAPS = {"free": 30.0, "pro": 240.0, "studio": 600.0}
     f"""
 WITH s AS (SELECT user_id, sum(-delta) AS spent FROM ledger WHERE delta < 0 AND created_at >= {_DAY} GROUP BY user_id)
 SELECT u.id AS user_id, u.plan, CAST(coalesce(spent, 0) AS DOUBLE) AS spent,
-  round(greatest(0.0::DOUBLE, CASE u.plan WHEN 'free' THEN 30 WHEN 'pro' THEN 240 ELSE 600 END - CAST(coalesce(spent, 0) AS DOUBLE)), 1) AS "left"
+  CAST(round(greatest(0::DECIMAL(28,4), CASE u.plan WHEN 'free' THEN 30 WHEN 'pro' THEN 240 ELSE 600 END::DECIMAL(28,4) - coalesce(spent, 0)::DECIMAL(28,4)), 1) AS DOUBLE) AS "left"
 FROM users u LEFT JOIN s ON u.id = s.user_id""",
 )
 def _(v):

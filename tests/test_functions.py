@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import glossary as G
 from cuelake.functions import script as S
 from cuelake.functions.timecode import ass_time, srt_time, vtt_time
-from cuelake.operators import cutlaws, intervals, layout, signal
+from cuelake.operators import cutlaws, intervals, layout, ledger, signal
 from cuelake.sources import sinks, timedtext
 from cuelake.streaming import stateful
 
@@ -216,3 +216,15 @@ def test_styled_times_round_what_the_double_holds(spark):
     ms = [17415, 19915, 43915, 5, 15, 125, 375, 59995, 59999, 3_599_995, 77_415, *range(1005, 60000, 250)]
     rows = spark.createDataFrame([(x / 1000.0,) for x in ms], "s double").select("s", ass_time(F.col("s")).alias("t")).collect()
     assert [r.t for r in rows] == [f"{int(r.s // 3600)}:{int(r.s % 3600 // 60):02d}:{r.s % 60:05.2f}" for r in rows]
+
+
+def test_quota_left_rounds_halves_up(spark):
+    """30 - 26.35 is less than 3.65 as a double, 240 - 26.35 is 213.65 exactly; both are halves."""
+    from datetime import datetime
+
+    users = spark.createDataFrame([(k, plan) for k, plan in enumerate(("free", "pro", "studio", "free"))], "id long, plan string")
+    spent = ("26.35", "26.35", "599.95", "99.0")
+    rows = spark.createDataFrame([(k, f"-{x}", datetime(2024, 1, 30, 5)) for k, x in enumerate(spent)], "user_id long, delta string, created_at timestamp")
+    rows = rows.withColumn("delta", F.col("delta").cast("decimal(18,4)"))
+    out = ledger.quota_left(users, rows, F.expr("DATE '2024-01-30'"), {"free": 30.0, "pro": 240.0, "studio": 600.0}).orderBy("user_id").collect()
+    assert [r.left for r in out] == [3.7, 213.7, 0.1, 0.0]
