@@ -7,12 +7,14 @@ full scale after each. A tape of any length is many short rows in many tasks, an
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import intervals
 
@@ -89,6 +91,31 @@ def tone(seconds: Column, lang: Column, rate: int = RATE) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.lit(rate) * dur).cast("int") - 1), sample)
 
 
+def tone_files(rows: DataFrame, seconds: Column, lang: Column, rate: int = RATE) -> DataFrame:
+    """rows with samples (their number) and wav (the stand-in's WAV file, as ``wav(tone(...))`` makes it), row by row on Arrow batches."""
+    at = len(rows.columns)
+    asked = rows.withColumns({"samples": F.greatest(F.lit(TONE_LEAST), F.least(seconds, F.lit(TONE_MOST))), "wav": F.when(lang == "uz", PITCH).otherwise(PITCH_OTHER)})
+
+    def one(dur: float, base: float) -> bytes:
+        n = math.floor(rate * dur)
+        t = np.arange(n) / float(rate)
+        swell = np.sin(math.pi * np.minimum(1.0, t / dur))
+        pitch = base + SWAY * np.sin((2 * math.pi * SWAY_HZ) * t)
+        x = np.trunc(LOUD * swell * np.sin((2 * math.pi) * pitch * t)).astype("<i2").tobytes()
+        return b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", len(x) + 36, b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(x)) + x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                files = [one(d, b) for d, b in zip(part.column(at).to_pylist(), part.column(at + 1).to_pylist(), strict=True)]
+                cols = [*part.columns[:at], pa.array([(len(f) - 44) // 2 for f in files], pa.int64()), pa.array(files, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("samples", T.LongType()), T.StructField("wav", T.BinaryType())])
+    return asked.mapInArrow(run, schema)
+
+
 def _little(n: Column, size: int) -> Column:
     """A whole number's bytes, the least first, as hexadecimal digits."""
     digits = F.lpad(F.hex(F.pmod(n.cast("long"), F.lit(1 << (8 * size)))), 2 * size, "0")

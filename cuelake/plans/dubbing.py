@@ -52,6 +52,6 @@ w AS (SELECT doc, idx, len(x) AS n, list_transform([len(x) * 2 + 36, len(x) * 2]
 SELECT doc, idx, n AS samples, md5(unhex('52494646' || sizes[1] || '57415645666D74201000000001000100401F0000803E00000200100064617461' || sizes[2] || data)) AS md5 FROM w""",
 )
 def _(v):
-    samples = D.tone((F.col("end_s") - F.col("start_s")) / 8, F.when(F.col("idx") % 2 == 0, "uz").otherwise("ru"), RATE)
-    rows = v.cues.select("doc", "idx", samples.alias("x"))
-    return rows.select("doc", "idx", F.size("x").cast("long").alias("samples"), F.md5(D.wav(F.col("x"), RATE)).alias("md5"))
+    rows = v.cues.select("doc", "idx", "start_s", "end_s")
+    files = D.tone_files(rows, (F.col("end_s") - F.col("start_s")) / 8, F.when(F.col("idx") % 2 == 0, "uz").otherwise("ru"), RATE)
+    return files.select("doc", "idx", "samples", F.md5("wav").alias("md5"))

@@ -74,3 +74,14 @@ def test_wav_of_any_samples(spark):
     [r] = spark.createDataFrame([(x,)], "x array<int>").select(D.wav(F.col("x"), 44100).alias("w")).collect()
     got, rate = read_wav(bytes(r.w))
     assert got.tolist() == x and rate == 44100
+
+
+def test_tone_files_are_the_files_of_tones(spark):
+    from pyspark.sql import functions as F
+
+    from cuelake.operators import dubbing as D
+
+    rows = spark.createDataFrame([(k, s, lang) for k, (s, lang) in enumerate([(0.1, "uz"), (0.375, "ru"), (0.51, "uz"), (1.0, "ru")])], "k int, s double, lang string")
+    made = D.tone_files(rows, F.col("s"), F.col("lang"), 8000).select("k", "samples", F.md5("wav").alias("m")).collect()
+    want = rows.select("k", D.tone(F.col("s"), F.col("lang"), 8000).alias("x")).select("k", F.size("x").cast("long").alias("samples"), F.md5(D.wav(F.col("x"), 8000)).alias("m")).collect()
+    assert sorted(made) == sorted(want)
