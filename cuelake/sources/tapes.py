@@ -32,6 +32,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "tape long, block long, base long, pcm binary"
 BLOCK, PARTITION = 60 * 8000, 64 << 20
+#: Bytes read at once.
+READ = 1 << 20
 #: Bytes in which the header of a WAV file has to begin its data.
 HEADER = 1 << 16
 
@@ -132,10 +134,15 @@ class _Blocks:
             return
         store, _ = opened(self.path)
         t = partition.tape
-        for k in range(partition.a, partition.b):
-            first = t.first + 2 * k * self.block
-            pcm = _ranges(store, t.files, first, min(first + 2 * self.block, t.end - (t.end - t.first) % 2))
-            cols = [pa.array([x], kind) for x, kind in ((t.name, pa.int64()), (k, pa.int64()), (k * self.block, pa.int64()), (pcm, pa.binary()))]
+        size = 2 * self.block
+        step = max(1, READ // size)
+        for a in range(partition.a, partition.b, step):
+            # many short blocks are one read and one batch
+            numbers = range(a, min(a + step, partition.b))
+            first = t.first + size * a
+            held = _ranges(store, t.files, first, min(first + size * len(numbers), t.end - (t.end - t.first) % 2))
+            pcm = [held[at : at + size] for at in range(0, size * len(numbers), size)]
+            cols = [pa.array(x, kind) for x, kind in (([t.name] * len(pcm), pa.int64()), (numbers, pa.int64()), ([k * self.block for k in numbers], pa.int64()), (pcm, pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, names=["tape", "block", "base", "pcm"])
 
 
