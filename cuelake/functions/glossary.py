@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .script import AT_ONCE, in_python
+
 #: Most characters out, and most growth.
 MOST_OUT, GROWTH, SLACK = 200_000, 4, 4096
 
@@ -54,19 +56,21 @@ def mask_terms(text: str, terms: dict[str, str]) -> tuple[str, dict[str, str]]:
 
 
 def applied(text: Column, terms: dict[str, str]) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(replacer(terms), na_action="ignore")
-
-    return F.pandas_udf(run, "string")(text)
+    return in_python(replacer(terms))(text)
 
 
 def masked(text: Column, terms: dict[str, str]) -> Column:
-    def run(s: pd.Series) -> pd.DataFrame:
-        mask = masker(terms)
-        rows = [mask(t or "") for t in s]
-        return pd.DataFrame({"text": [t for t, _ in rows], "marks": [m for _, m in rows]})
+    """struct(text, marks). A few texts are Python objects at a time, the others lie in Arrow buffers."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        mask, parts = masker(terms), []
+        kind = pa.struct([("text", pa.string()), ("marks", pa.map_(pa.string(), pa.string()))])
+        for at in range(0, len(texts), AT_ONCE):
+            rows = [mask(t or "") for t in texts.slice(at, AT_ONCE).to_pylist()]
+            parts.append(pa.array([{"text": t, "marks": list(m.items())} for t, m in rows], kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    return F.pandas_udf(run, "text string, marks map<string,string>")(text)
+    return F.arrow_udf(run, "text string, marks map<string,string>")(text)
 
 
 def unmasked(text: Column, marks: Column) -> Column:

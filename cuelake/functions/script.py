@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from itertools import product
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,14 @@ def _tables(letters: dict[str, str]) -> tuple[dict[int, str], dict[int, str]]:
 
 _CYR = _tables(CYRILLIC)
 _OLD = _tables({v: k for k, v in REFORMED.items()})
+#: Capitals that the two tables of an alphabet replace otherwise; where a text has none, its words needn't be looked at.
+_BY_CASE = {id(t): re.compile("[" + "".join(chr(c) for c in t[0] if t[0][c] != t[1][c]) + "]") for t in (_CYR, _OLD)}
 
 
 def _by_run(text: str, tables: tuple[dict[int, str], dict[int, str]]) -> str:
     """Letters replaced; a word wholly in capitals keeps them in every letter of the replacement."""
+    if not _BY_CASE[id(tables)].search(text):
+        return text.translate(tables[1])
     return _RUN.sub(lambda m: m[0].translate(tables[0] if m[0].isupper() else tables[1]), text)
 
 
@@ -61,7 +67,14 @@ def _pattern(keys) -> re.Pattern:
     return re.compile("|".join("".join(map(both, k)) for k in sorted(keys, key=len, reverse=True)))
 
 
-_LATIN_PAIRS, _REFORM_PAIRS = _pattern(LATIN), _pattern(REFORMED)
+_REFORM_PAIRS = _pattern(REFORMED)
+#: Pairs in an order in which replacing one after another gives what reading from left to right gives: ts before what begins with s, yo before o'.
+_IN_ORDER = ("ts", "yo", "shch", "sh", "ch", "g'", "o'", "ya", "yu")
+#: Every way to write a pair, with its letter, a capital where the pair begins with one; single letters.
+_PAIRS_IN_ORDER = [
+    ("".join(w), LATIN[p].upper() if w[0].isupper() else LATIN[p]) for p in _IN_ORDER for w in product(*[(c, c.upper()) if c.isalpha() else (c,) for c in p])
+]
+_SINGLES = {ord(x): y for k, c in LATIN.items() if len(k) == 1 for x, y in ((k, c), (k.upper(), c.upper()))}
 
 
 def cyr2lat(text: str) -> str:
@@ -69,11 +82,9 @@ def cyr2lat(text: str) -> str:
 
 
 def lat2cyr(text: str) -> str:
-    def one(m: re.Match) -> str:
-        to = LATIN[m[0].lower()]
-        return to.upper() if m[0].isupper() else _TITLE(to) if m[0][:1].isupper() else to
-
-    return _LATIN_PAIRS.sub(one, text)
+    for written, letter in _PAIRS_IN_ORDER:
+        text = text.replace(written, letter)
+    return text.translate(_SINGLES)
 
 
 def normalize(text: str) -> str:
@@ -110,13 +121,18 @@ def transliterate(text: str, to: str = "latin") -> str:
     return unicodedata.normalize("NFC", to_reformed(legacy) if target == "new_latin" else legacy)
 
 
-def _batched(convert):
-    def run(texts: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
-        done = [convert(t) for t in distinct] + [None]
-        return pd.Series([done[c] for c in codes], dtype=object)
+#: Texts that are Python objects at once.
+AT_ONCE = 64
+
 
-    return run
+def in_python(convert) -> Callable[[Column], Column]:
+    """A text function as a column function. A few texts are Python objects at a time, the others lie in Arrow buffers; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if t is None else convert(t) for t in texts.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 #: Letters beyond ASCII that are composed as they stand, so that NFC leaves a text of them as it is: Latin-1, Cyrillic, punctuation of texts.
@@ -150,17 +166,13 @@ def _pairs_old(text: Column) -> Column:
     return text
 
 
-#: Pairs in an order in which replacing one after another gives what reading from left to right gives: ts before what begins with s, yo before o'.
-_IN_ORDER = ("ts", "yo", "shch", "sh", "ch", "g'", "o'", "ya", "yu")
 _SINGLE = {k: v for k, v in LATIN.items() if len(k) == 1}
 
 
 def _cyrillic(text: Column) -> Column:
     """Latin letters of the old alphabet as Cyrillic ones, capital where a pair begins with a capital."""
-    for pair in _IN_ORDER:
-        rest = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in pair[1:])
-        for first, letter in ((pair[0], LATIN[pair]), (pair[0].upper(), LATIN[pair].upper())):
-            text = F.regexp_replace(text, first + rest, letter)
+    for written, letter in _PAIRS_IN_ORDER:
+        text = F.replace(text, F.lit(written), F.lit(letter))
     low, to = "".join(_SINGLE), "".join(_SINGLE.values())
     return F.translate(text, low + low.upper(), to + to.upper())
 
@@ -168,7 +180,7 @@ def _cyrillic(text: Column) -> Column:
 def transliterated(text: Column, to: str = "latin") -> Column:
     """Null stays null. Texts without Cyrillic letters and without capitals that become two letters, already composed, stay in generated code."""
     target = TARGETS.get(to.strip().lower(), "latin")
-    slow = F.pandas_udf(_batched(lambda t: transliterate(t, to)), "string")
+    slow = in_python(lambda t: transliterate(t, to))
     plain = _pairs_old(_one_apostrophe(text))
     plain = _pairs_reformed(plain) if target == "new_latin" else _cyrillic(plain) if target == "cyrillic" else plain
     easy = text.rlike(_COMPOSED) & ~text.rlike(f"[Ѐ-ӿ{_TWO}]")
@@ -179,13 +191,13 @@ def transliterated(text: Column, to: str = "latin") -> Column:
 def normalized(text: Column) -> Column:
     """One apostrophe, composed letters."""
     easy = text.rlike(_COMPOSED)
-    return F.when(easy, _one_apostrophe(text)).otherwise(F.pandas_udf(_batched(normalize), "string")(F.when(~easy, text)))
+    return F.when(easy, _one_apostrophe(text)).otherwise(in_python(normalize)(F.when(~easy, text)))
 
 
 def romanized(text: Column) -> Column:
     """Cyrillic letters as Latin ones, one apostrophe, composed letters; Latin letters of any alphabet stay."""
     cyrillic = text.rlike("[Ѐ-ӿ]")
-    return F.when(~cyrillic, normalized(text)).otherwise(F.pandas_udf(_batched(lambda t: cyr2lat(normalize(t))), "string")(F.when(cyrillic, text)))
+    return F.when(~cyrillic, normalized(text)).otherwise(in_python(lambda t: cyr2lat(normalize(t)))(F.when(cyrillic, text)))
 
 
 def official(text: Column) -> Column:

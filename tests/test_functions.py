@@ -228,3 +228,18 @@ def test_quota_left_rounds_halves_up(spark):
     rows = rows.withColumn("delta", F.col("delta").cast("decimal(18,4)"))
     out = ledger.quota_left(users, rows, F.expr("DATE '2024-01-30'"), {"free": 30.0, "pro": 240.0, "studio": 600.0}).orderBy("user_id").collect()
     assert [r.left for r in out] == [3.7, 213.7, 0.1, 0.0]
+
+
+def test_letters_by_replacement_are_those_by_pattern():
+    """lat2cyr against reading from left to right, in every case of short texts."""
+    from itertools import product
+
+    found = S._pattern(S.LATIN)
+
+    def one(m):
+        to = S.LATIN[m[0].lower()]
+        return to.upper() if m[0][:1].isupper() else to
+
+    for n in (1, 2, 3, 4):
+        for t in map("".join, product("tsSChHyo'g" if n > 3 else "tsSchHyYoO'gGau", repeat=n)):
+            assert S.lat2cyr(t) == found.sub(one, t)
