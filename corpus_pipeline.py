@@ -34,7 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingle sets with a similarity of 0.8 or more, every such pair.
 
-    SimHash fingerprints within three bits miss most of those pairs (README has figures), so the operator's exact form runs here.
+    SimHash links fingerprints within three bits first, confirmed by the sets; as that misses most of those pairs (README has figures), an exact join finds the rest.
     """
     return near_copies.keep_first(docs)
 

@@ -1,9 +1,12 @@
-"""Near copies of whole texts by an exact set-similarity join.
+"""Near copies of whole texts by SimHash and an exact set-similarity join.
 
 Two texts are linked when the sets of their word shingles (``WIDTH`` words, A-Z in lower case; a shorter text is one shingle)
-have a Jaccard similarity of at least ``NUM / DEN``. The join loses no pair.
+have a Jaccard similarity of at least ``NUM / DEN``. SimHash finds links first; the join completes them, so no pair is lost.
 
-1. Texts with equal sets meet in one aggregation, so copies never become pairs.
+0. Texts with equal sets meet in one aggregation, so copies never become pairs.
+1. Fingerprints (of three-word shingles, as op6 makes them) within ``BITS`` bits are searched as in ``simhash`` (partitions, probes, components). Each set of a component meets the
+   component's least one, so rows grow with sets, and the links that the sets confirm stand. Fingerprints miss many pairs of that similarity; the steps
+   below find all pairs, but verify only those that SimHash hasn't joined.
 2. The shingles of a set are ordered, common ones last, else by hash, and its prefix is the first p = n - ceil(t n) + 1 of n, t the least
    similarity. Prefixes travel as hashes, packed by bucket. Which are common comes from counts inside blocks over all texts, at most ``COMMON_MOST`` of
    them; any order finds the same pairs, but with this one passages that many texts share, and copies with many edits, make hardly any candidates.
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import blocks
+from . import blocks, simhash
 from .common import cut, spare
 from .graph import components
 
 WIDTH = 5
+#: Differing bits within which fingerprints are searched.
+BITS = 3
 #: The least similarity, NUM / DEN.
 NUM, DEN = 4, 5
 BUCKET_BYTES = 8 << 20
@@ -345,16 +350,32 @@ def linked_in_cells(cells: DataFrame, texts: DataFrame, width: int, common: np.n
 
 
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(_d, _t, set) of docs (_d, _t, text)."""
+    """(_d, _t, set, fp) of docs (_d, _t, text); fp: the fingerprint, by the operator's own width."""
 
     @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offsets, data in blocks.text_blocks(batch.column(2)):
                 ids = set_ids(*shingle_sets(offsets, data, width)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(ids)], names=["_d", "_t", "set"])
+                fps = np.array([simhash.fingerprint(t.as_py()) for t in batch.column(2).slice(a, b - a)], dtype=np.uint64).view(np.int64)
+                kept = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids), pa.array(fps)], names=["_d", "_t", "set", "fp"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("_d", "_t", "set")]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("_d", "_t", "set", "fp")]))
+
+
+def sketched(sets: DataFrame, max_bits: int = BITS) -> DataFrame:
+    """(set, fp) -> (a, b): the least set of each component of near fingerprints with each other set of it."""
+    named = cut(sets.join(simhash.classes(sets, max_bits), "fp").select("set", "label"))
+    least = named.groupBy("label").agg(F.min("set").alias("a"))
+    return named.join(least, "label").filter("set > a").select("a", F.col("set").alias("b"))
+
+
+def not_joined(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends have no common head. links (a, b): b's head is a, and heads have none."""
+    heads = [links.select(F.col("b").alias(f"_{end}"), F.col("a").alias(f"_{end}_head")) for end in ("a", "b")]
+    found = pairs.join(heads[0], F.col("a") == F.col("_a"), "left").join(heads[1], F.col("b") == F.col("_b"), "left")
+    return found.filter(F.coalesce("_a_head", "a") != F.coalesce("_b_head", "b")).select("a", "b")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, hot: int = HOT_SETS, cell: int = CELL_SETS) -> DataFrame:
@@ -362,14 +383,17 @@ def keep_first(docs: DataFrame, width: int = WIDTH, hot: int = HOT_SETS, cell: i
     d, t = spare(docs.columns, "d", "t")
     keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), t: F.coalesce(F.xxhash64("text"), F.lit(0))})
     rows = keyed.select(F.col(d).alias("_d"), F.col(t).alias("_t"), "text")
-    first = cut(_with_sets(rows, width).groupBy("set").agg(F.min(F.struct("_d", "_t")).alias("first")))
+    first = cut(_with_sets(rows, width).groupBy("set").agg(F.min(F.struct("_d", "_t", "fp")).alias("first")))
+    near = cut(sketched(first.select("set", "first.fp")))
     common = common_shingles(docs.select("text"), width)
     pairs, cells = candidates(docs.select("text"), width, hot, cell, common)
-    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(cells.select("set")).distinct()
+    both = pairs.union(near)
+    ends = both.select(F.col("a").alias("set")).union(both.select("b")).union(cells.select("set")).distinct()
     named = ends.join(first, "set").select("set", F.col("first._d").alias("_kd"), F.col("first._t").alias("_kt"))
     texts = cut(rows.join(named, (F.col("_d") == F.col("_kd")) & (F.col("_t") == F.col("_kt"))).groupBy("set").agg(F.min("text").alias("text")))
-    links = verified(pairs, texts, width).unionByName(linked_in_cells(cells, texts, width, common))
-    label = components(cut(links))
+    confirmed = cut(verified(near, texts, width))
+    rest = verified(not_joined(pairs, confirmed), texts, width)
+    label = components(cut(confirmed.unionByName(rest).unionByName(linked_in_cells(cells, texts, width, common))))
     stay = first.join(label, F.col("set") == F.col("node"), "left").groupBy(F.coalesce("label", "set").alias("label")).agg(F.min("first").alias("first"))
     kd, kt = spare(keyed.columns, "kd", "kt")
     stay = stay.select(F.col("first._d").alias(kd), F.col("first._t").alias(kt))
