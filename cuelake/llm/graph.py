@@ -14,20 +14,23 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
+def _pairs(df: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each of some pairs of columns, from one pass over df."""
+    return df.select(F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, label), label the least node that can be reached.
 
-    Each round reads and writes the checkpoint folder; rounds end when no edge changes, after about
+    Either step of a round reads and writes the checkpoint folder, so that no plan holds a frame more than twice and the driver's
+    memory doesn't grow with plans; rounds end when no edge changes, after about
     the logarithm of the longest path. Null ends and loops are left out; no edges give no rows.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     state = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _least(large)
-        onward = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(onward.unionByName(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        large = cut(_least(_pairs(e, ("u", "v"), ("v", "u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        e = cut(_pairs(_least(large), ("v", "m"), ("u", "m")).filter("u > v").distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
             break

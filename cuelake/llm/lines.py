@@ -434,8 +434,10 @@ def line_classes(docs: DataFrame, most: int = MOST, least: int = MIN_CHARS, cell
     links = cut(verified(entries, texts, most))
     degree = links.filter("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n_links"))
     label = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("h"), "label")
+    # few rows against all lines; computed once, as the plan below has them twice
+    linked = cut(label.join(degree, "h"))
     distinct = found.groupBy("h").agg(F.min(F.struct("doc", "tkey", "line")).alias("own"))
-    distinct = distinct.join(label.join(degree, "h"), "h", "left")
+    distinct = distinct.join(linked, "h", "left")
     distinct = distinct.select("h", "own", F.coalesce("label", "h").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     first = distinct.groupBy("label").agg(F.min("own").alias("first"))
     return found.drop("text"), distinct.join(first, "label").select("h", "first", "n_links")

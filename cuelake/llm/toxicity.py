@@ -207,15 +207,16 @@ class State:
         self.network.table[at], self.rows[at] = values, sums
         return at
 
-    def given(self) -> tuple[bytes, np.ndarray]:
-        """What a task needs to go on."""
-        return self.packed(np.flatnonzero(self.live)), self.dense()
+    def given(self) -> tuple[list[bytes], np.ndarray]:
+        """What a task needs to go on, the embeddings in parts, as packing and unpacking take copies."""
+        return [self.packed(at) for at in np.array_split(np.flatnonzero(self.live), PARTS)], self.dense()
 
     @classmethod
-    def taken(cls, raw: bytes, flat: np.ndarray) -> State:
+    def taken(cls, parts: list[bytes], flat: np.ndarray) -> State:
         zeros = (np.zeros(s, dtype=np.float32) for s in ((3 * BUCKETS, DIM), (DIM, FILTERS * sum(WIDTHS)), _POOLED, _POOLED))
         state = cls(Network(*zeros, 0.0), np.zeros(3 * BUCKETS, dtype=bool), np.full((3 * BUCKETS, DIM), 1e-6, dtype=np.float32), np.zeros(0))
-        state.live[state.put(raw)] = True
+        for raw in parts:
+            state.live[state.put(raw)] = True
         state.set_dense(flat)
         return state
 
@@ -426,13 +427,16 @@ def known_buckets(texts: DataFrame, before: dict[tuple[int, int], int], held: li
 def one_round(texts: DataFrame, states: list[State], before: dict[tuple[int, int], int], held: list[bool], weights: list[np.ndarray], passes: list[int], number: int) -> None:
     """Every shard goes through every network; the networks become the averages of what the shards made of them."""
     sc = texts.sparkSession.sparkContext
-    given = sc.broadcast([s.given() for s in states])
+    # one for each network: the driver packs one at a time, and a task reads its own
+    given = [sc.broadcast(s.given()) for s in states]
 
     def through(net: int) -> DataFrame:
+        own = given[net]
+
         @blocks.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def begin(shard: int) -> tuple[State, np.ndarray, np.random.Generator]:
-                return State.taken(*given.value[net]), np.zeros(3 * BUCKETS, dtype=bool), np.random.default_rng((net, number, shard))
+                return State.taken(*own.value), np.zeros(3 * BUCKETS, dtype=bool), np.random.default_rng((net, number, shard))
 
             def learn(chunk: list[np.ndarray], label: list[int]) -> None:
                 y = np.array(label)
@@ -500,29 +504,36 @@ def one_round(texts: DataFrame, states: list[State], before: dict[tuple[int, int
     moved = through(0)
     for net in range(1, FOLDS):
         moved = moved.unionByName(through(net))
-    for r in moved.repartition("net", "part").sortWithinPartitions("net", "part").mapInArrow(mean, "net int, part int, payload binary").collect():
-        state = states[r["net"]]
-        if r["part"] < PARTS:
-            state.put(r["payload"])
-        else:
-            state.set_dense(np.frombuffer(r["payload"], "<f4"))
-    given.destroy()
+    means = moved.repartition(FOLDS * PARTS, "net", "part").sortWithinPartitions("net", "part").mapInArrow(mean, "net int, part int, payload binary")
+    # Arrow batches reach the driver task by task and are read where they lie; rows would be decoded and pickled, all at once, in its heap
+    for batch in means.toArrow().to_batches():
+        for net, part, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
+            state = states[net.as_py()]
+            if part.as_py() < PARTS:
+                state.put(payload.as_buffer())
+            else:
+                state.set_dense(np.frombuffer(payload.as_buffer(), "<f4"))
+    for g in given:
+        g.destroy()
 
 
 def held_out(texts: DataFrame, networks: list[Network | None], before: dict[tuple[int, int], int]) -> np.ndarray:
     """Bins (language, bin, least, greatest raw probability, texts of either label) of the fifths, each scored by the network that did not learn from it; None: has learnt from all."""
+    given = texts.sparkSession.sparkContext.broadcast(networks)
 
     @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, fifth, label, language, ids in _texts(batches, before):
-            m = networks[fifth] if fifth < len(networks) else None
+            m = given.value[fifth] if fifth < len(given.value) else None
             if m is not None:
                 raw = float(_activity(m, winners(m, [ids])[0], np.array([len(ids)]))[1][0])
                 yield pa.RecordBatch.from_arrays([pa.array([language], pa.int32()), pa.array([label], pa.int32()), pa.array([raw], pa.float64())], names=["language", "label", "raw"])
 
     scored = texts.mapInArrow(run, "language int, label int, raw double")
     bins = scored.groupBy("language", F.floor(F.col("raw") * BINS).alias("bin")).agg(F.min("raw"), F.max("raw"), F.sum(1 - F.col("label")), F.sum("label"))
-    return bins.toPandas().to_numpy(dtype=float)
+    found = bins.toPandas().to_numpy(dtype=float)
+    given.destroy()
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, shard_bytes: int = SHARD_BYTES) -> Model | None:
@@ -549,18 +560,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, shard_bytes: int = SH
     for number in range(rounds):
         one_round(texts, states, before, held, weights, passes, number)
     networks = [s.network for s in states]
+    del states  # the sums go
     seen = held_out(texts, [m if h else None for m, h in zip(networks, held, strict=True)], before) if any(held) else []
+    blocks.give_back()
     return Model(networks, calibrated(seen) if len(seen) else {-1: 0.5})
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """docs (doc_id, text and more) with the score, a double, under a name; a column of that name is replaced."""
+    # written straight to the broadcast's file; in the function's closure it would first be a string of bytes, and written after
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
     @blocks.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows)
-            if model is not None:
+            if (model := given.value) is not None:
                 text = batch.column(batch.schema.get_field_index("text"))
                 for a, b, offsets, data in blocks.text_blocks(text, BLOCK):
                     ids, bound, language = _features(offsets, data)
